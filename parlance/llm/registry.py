@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import op02_quality_rules, op03_sharding, op04_url_filters, op05_decontamination, op06_packing, op07_token_files
+from . import op01_minhash_forest, op02_quality_rules, op03_sharding, op04_url_filters, op05_decontamination, op06_packing, op07_token_files
 
-MODULES = (op02_quality_rules, op03_sharding, op04_url_filters, op05_decontamination, op06_packing, op07_token_files)
+MODULES = (op01_minhash_forest, op02_quality_rules, op03_sharding, op04_url_filters, op05_decontamination, op06_packing, op07_token_files)
 
 
 def queries() -> dict:
