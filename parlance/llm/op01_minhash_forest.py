@@ -36,7 +36,7 @@ from .graph import components
 NAME = "op1_minhash_forest"
 WIDTH, PERCENT = 5, 80
 TREES, DEPTH, LEAST = 10, 12, 2
-SMALL, BLOCK, CENTRES, LIKELY = 12, 4096, 16, 0.655
+SMALL, BLOCK, CENTRES, LIKELY = 12, 2048, 16, 0.655
 ROW_BYTES = 1 + 2 * DEPTH
 
 _rng = np.random.default_rng(20240229)
@@ -229,16 +229,53 @@ def stitched(pdf: pd.DataFrame) -> pd.DataFrame:
     return as_frame(regions.pairs, regions.rows, int(pdf["part"].iloc[0]))
 
 
+def unlinked(ids: np.ndarray, sig: np.ndarray, comp: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Places of rows outside the main component, each with the likely places of other components."""
+    main, at = np.bincount(comp).argmax(), np.arange(len(ids))
+    for i in np.flatnonzero(comp != main):
+        other = np.flatnonzero((comp != comp[i]) & ((comp == main) | (at > i)))
+        other = other[agreement(sig[i], sig[other]) >= LIKELY]
+        if len(other):
+            yield i, other
+
+
+def block_arrays(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), -1)
+    return pdf["a"].to_numpy(np.int64), sig, np.unique(pdf["c"].to_numpy(np.int64), return_inverse=True)[1]
+
+
 def unsettled(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Round two in a block: rows outside the main component against rows of all other components."""
+    """Round two, first half: the rows of a block that still have a likely partner in another component."""
     pdf = pdf.sort_values("a").drop_duplicates("a")
-    ids, sig = pdf["a"].to_numpy(np.int64), np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), -1)
-    names, comp = np.unique(pdf["c"].to_numpy(np.int64), return_inverse=True)
-    main, out = np.bincount(comp).argmax(), []
-    for i in np.flatnonzero(comp != main):
-        other = np.flatnonzero((comp != comp[i]) & ((comp == main) | (np.arange(len(ids)) > i)))
-        out += [(ids[i], ids[j]) for j in other[agreement(sig[i], sig[other]) >= LIKELY]]
-    return as_frame(out, [], 0)[["a", "b"]]
+    ids, sig, comp = block_arrays(pdf)
+    keep = np.zeros(len(ids), bool)
+    for i, other in unlinked(ids, sig, comp):
+        keep[i] = True
+        keep[other] = True
+    return pdf.loc[keep, ["block", "a", "c", "sig"]]
+
+
+def settled_by(width: int, percent: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Round two, second half: those rows' full sets are compared inside their block, of bounded size; only links leave it."""
+        pdf = pdf.sort_values("a").reset_index(drop=True)
+        ids, sig, comp = block_arrays(pdf)
+        shingle, out = Shingler(width), []
+        sets = [shingle(t) for t in pdf["text"]]
+        sizes = np.array([len(x) for x in sets])
+        for i, other in unlinked(ids, sig, comp):
+            small, large = np.minimum(sizes[i], sizes[other]), np.maximum(sizes[i], sizes[other])
+            other = other[100 * small >= percent * large]
+            if not len(other) or not sizes[i]:
+                continue
+            joined = np.concatenate([sets[j] for j in other])
+            found = sets[i][np.minimum(np.searchsorted(sets[i], joined), sizes[i] - 1)] == joined
+            both = np.add.reduceat(found, np.r_[0, np.cumsum(sizes[other])[:-1]], dtype=np.int64)
+            for j in other[100 * both >= percent * (sizes[i] + sizes[other] - both)]:
+                out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+        return pd.DataFrame(sorted(set(out)), columns=["a", "b"]).astype("int64")
+
+    return run
 
 
 def forest(vertices: DataFrame) -> DataFrame:
@@ -262,51 +299,11 @@ def forest(vertices: DataFrame) -> DataFrame:
     before = spark.createDataFrame(list(zip(have[1:], have, strict=False)), "part long, previous long")
     heads = edges.where("kind = 'head'").join(F.broadcast(before), "part").withColumn("part", F.col("previous")).drop("previous")
     both = edges.where("kind = 'tail'").unionByName(heads)
-    more = written(both.groupBy("part").applyInPandas(stitched, COLUMNS), "op1-stitched")
-    return found.where("kind IN ('pair', 'block')").unionByName(more)
-
-
-def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, broadcast_ids: int = 1_000_000) -> DataFrame:
-    """Pairs (a, b) with 100 * intersection >= percent * union on full sets, written to the shared folder."""
-    pairs = written(pairs.select("a", "b").distinct(), "op1-pairs")
-    wanted = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "op1-wanted")
-    few = wanted.limit(broadcast_ids + 1).count() <= broadcast_ids
-    texts = written(docs.select("doc_id", "text").join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi"), "op1-texts")
-    joined = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(
-        texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b"
-    )
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingle = Shingler(width)
-        for pdf in batches:
-            keep, held_id, held = [], None, None
-            for a, b, ta, tb in zip(pdf["a"], pdf["b"], pdf["text_a"], pdf["text_b"], strict=True):
-                if b != held_id or tb is not held[0]:
-                    held_id, held = b, (tb, shingle(tb))
-                x, y = shingle(ta), held[1]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
-            yield pdf.loc[keep, ["a", "b"]]
-
-    return written(joined.mapInPandas(run, "a long, b long").distinct(), "op1-links")
-
-
-def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sigs = written(signatures(docs, width), "op1-signatures")
-    usable = sigs.where("doc_id IS NOT NULL AND n_shingles > 0")
-    sets = written(usable.groupBy("digest").agg(F.min("doc_id").alias("v"), F.max("sig").alias("sig"), F.count("*").alias("copies")), "op1-sets")
-    # one byte of each 16-bit minimum
-    one_byte = F.unhex(F.regexp_replace(F.hex("sig"), "..(..)", "$1"))
-    rows = forest(sets.select("v", "sig", one_byte.alias("bytes")))
-    links = confirmed(rows.where("kind = 'pair'"), docs, width, percent)
-    first = components(links)
-    blocks = rows.where("kind = 'block'").select("block", "a", "sig")
-    blocks = blocks.join(first.select(F.col("v").alias("a"), "c"), "a", "left").withColumn("c", F.coalesce("c", "a"))
-    more = written(blocks.groupBy("block").applyInPandas(unsettled, "a long, b long").distinct().join(links, ["a", "b"], "left_anti"), "op1-unsettled")
-    if more.limit(1).count():
-        first = components(links.unionByName(confirmed(more, docs, width, percent)))
+    open_rows = written(blocks.groupBy("block").applyInPandas(unsettled, "block string, a long, c long, sig binary"), "op1-unsettled")
+    if open_rows.limit(1).count():
+        texts = texts_of(docs, open_rows.select(F.col("a").alias("doc_id"))).withColumnRenamed("doc_id", "a")
+        more = open_rows.join(texts, "a").groupBy("block").applyInPandas(settled_by(width, percent), "a long, b long")
+        first = components(links.unionByName(written(more.distinct(), "op1-links")))
     named = sets.join(first, "v", "left").where("copies > 1 OR c IS NOT NULL").select("digest", F.coalesce("c", "v").alias("component_id"))
     out = sigs.drop("sig").join(named, "digest", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))

@@ -1,8 +1,8 @@
 """Token ids of whole texts, as little-endian unsigned 32-bit bytes.
 
-The tokenizer of ``word_bpe_49k.json`` cuts a text into words and encodes each by itself, so equal words
+The tokenizer of ``word_bpe_49k.json`` never joins what white space separates, so equal chunks between white space
 always give equal ids. For texts in Latin-1 without special tokens (their lower case and normal form are simple)
-this module cuts the words itself and keeps the ids of words in a bounded cache; every id still comes from
+this module cuts the chunks itself and keeps their ids in a bounded cache; every id still comes from
 the library. Any other text is encoded whole by the library.
 """
 
@@ -48,7 +48,7 @@ class Encoder:
 
     def _agrees(self) -> bool:
         """Whether words alone give the same ids as whole texts, on a probe of all of Latin-1."""
-        probe = "".join(map(chr, range(1, 256))) + " it's we'll x9y'd ÀÉ!!$%a1,b\xa0ñ''s"
+        probe = "".join(map(chr, [*range(1, 28), *range(32, 256)])) + " it's we'll x9y'd ÀÉ!!$%a1,b\xa0ñ''s"
         self.fast, self.special = True, []
         return self._words([probe])[0] == self._whole([probe])[0]
 
@@ -58,7 +58,7 @@ class Encoder:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _words(self, texts: list[str]) -> list[bytes]:
-        cut = [self.find(t.lower()) for t in texts]
+        cut = [t.lower().split() for t in texts]
         cache = self.cache
         new = list(set().union(*cut).difference(cache))
         if len(cache) + len(new) > self.cache_words:  # two generations: words in use move on to the younger one
@@ -74,14 +74,15 @@ class Encoder:
         return [b"".join(map(get, ws)) for ws in cut]
 
     def _each(self, words: list[str]) -> list[bytes]:
-        """Ids of each word, from one text of all; the last id of a word is one that ends words."""
+        """Ids of each chunk, from one text of all; the last id of each of its words is one that ends words."""
         import numpy as np
 
         ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
         ends = np.flatnonzero(self.ends[ids]) + 1
-        if len(ends) != len(words) or (len(ends) and ends[-1] != len(ids)):
+        upto = np.cumsum([len(self.find(w)) for w in words])
+        if len(ends) != upto[-1] or ends[-1] != len(ids):
             return self._whole(words)
-        raw, at = ids.tobytes(), [0, *(4 * ends).tolist()]
+        raw, at = ids.tobytes(), [0, *(4 * ends[upto - 1]).tolist()]
         return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
 
     def simple(self, text: str) -> bool:
@@ -89,7 +90,8 @@ class Encoder:
             text.encode("latin-1")
         except UnicodeEncodeError:
             return False
-        return not any(s in text for s in self.special)
+        # str.split() also splits at \x1c-\x1f, which are no white space to the tokenizer
+        return not any(s in text for s in self.special) and not any(c in text for c in "\x1c\x1d\x1e\x1f")
 
     def encode(self, texts) -> list[bytes]:
         """Ids of each text as bytes; null is an empty text. Memory follows the batch's size."""
@@ -97,8 +99,9 @@ class Encoder:
         if not self.fast:
             return self._whole(texts)
         out: list[bytes] = [b""] * len(texts)
-        easy = [k for k, t in enumerate(texts) if self.simple(t)]
-        hard = [k for k in range(len(texts)) if k not in set(easy)] if len(easy) < len(texts) else []
+        simple = [self.simple(t) for t in texts]
+        easy = [k for k, ok in enumerate(simple) if ok]
+        hard = [k for k, ok in enumerate(simple) if not ok]
         for at, how in ((easy, self._words), (hard, self._whole)):
             for k in range(0, len(at), 64):
                 for i, b in zip(at[k : k + 64], how([texts[j] for j in at[k : k + 64]]), strict=True):
