@@ -299,6 +299,53 @@ def forest(vertices: DataFrame) -> DataFrame:
     before = spark.createDataFrame(list(zip(have[1:], have, strict=False)), "part long, previous long")
     heads = edges.where("kind = 'head'").join(F.broadcast(before), "part").withColumn("part", F.col("previous")).drop("previous")
     both = edges.where("kind = 'tail'").unionByName(heads)
+    more = written(both.groupBy("part").applyInPandas(stitched, COLUMNS), "op1-stitched")
+    return found.where("kind IN ('pair', 'block')").unionByName(more)
+
+
+def texts_of(docs: DataFrame, ids: DataFrame, broadcast_ids: int = 1_000_000) -> DataFrame:
+    """Rows of ``docs`` with one of the ``ids``, written; the ids are broadcast only if they are few."""
+    wanted = written(ids.distinct(), "op1-wanted")
+    few = wanted.limit(broadcast_ids + 1).count() <= broadcast_ids
+    return written(docs.select("doc_id", "text").join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi"), "op1-texts")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (a, b) with 100 * intersection >= percent * union on full sets, written to the shared folder."""
+    pairs = written(pairs.select("a", "b").distinct(), "op1-pairs")
+    texts = texts_of(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")))
+    joined = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(
+        texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b"
+    )
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingle = Shingler(width)
+        for pdf in batches:
+            keep, held_id, held = [], None, None
+            for a, b, ta, tb in zip(pdf["a"], pdf["b"], pdf["text_a"], pdf["text_b"], strict=True):
+                if b != held_id or tb is not held[0]:
+                    held_id, held = b, (tb, shingle(tb))
+                x, y = shingle(ta), held[1]
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
+            yield pdf.loc[keep, ["a", "b"]]
+
+    return written(joined.mapInPandas(run, "a long, b long").distinct(), "op1-links")
+
+
+def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sigs = written(signatures(docs, width), "op1-signatures")
+    usable = sigs.where("doc_id IS NOT NULL AND n_shingles > 0")
+    sets = written(usable.groupBy("digest").agg(F.min("doc_id").alias("v"), F.max("sig").alias("sig"), F.count("*").alias("copies")), "op1-sets")
+    # one byte of each 16-bit minimum
+    one_byte = F.unhex(F.regexp_replace(F.hex("sig"), "..(..)", "$1"))
+    rows = forest(sets.select("v", "sig", one_byte.alias("bytes")))
+    links = confirmed(rows.where("kind = 'pair'"), docs, width, percent)
+    first = components(links)
+    blocks = rows.where("kind = 'block'").select("block", "a", "sig")
+    blocks = blocks.join(first.select(F.col("v").alias("a"), "c"), "a", "left").withColumn("c", F.coalesce("c", "a"))
     open_rows = written(blocks.groupBy("block").applyInPandas(unsettled, "block string, a long, c long, sig binary"), "op1-unsettled")
     if open_rows.limit(1).count():
         texts = texts_of(docs, open_rows.select(F.col("a").alias("doc_id"))).withColumnRenamed("doc_id", "a")
