@@ -59,19 +59,21 @@ class Encoder:
 
     def _words(self, texts: list[str]) -> list[bytes]:
         cut = [t.lower().split() for t in texts]
-        cache = self.cache
-        new = list(set().union(*cut).difference(cache))
-        if len(cache) + len(new) > self.cache_words:  # two generations: words in use move on to the younger one
-            self.old, self.cache = cache, {}
-            cache = self.cache
-            new = list(set().union(*cut))
-        if self.old:
-            cache.update((w, self.old[w]) for w in new if w in self.old)
+        found = [list(map(self.cache.get, ws)) for ws in cut]
+        holes = [(ws, got, [i for i, x in enumerate(got) if x is None]) for ws, got in zip(cut, found, strict=True) if None in got]
+        new = list({ws[i] for ws, _, at in holes for i in at})
+        if len(self.cache) + len(new) > self.cache_words:  # two generations: chunks in use move on to the younger one
+            self.old, self.cache = self.cache, {}
+        cache, old = self.cache, self.old
+        if old:
+            cache.update([(w, old[w]) for w in new if w in old])
             new = [w for w in new if w not in cache]
         for k in range(0, len(new), 4096):
             cache.update(zip(new[k : k + 4096], self._each(new[k : k + 4096]), strict=True))
-        get = cache.__getitem__
-        return [b"".join(map(get, ws)) for ws in cut]
+        for ws, got, at in holes:
+            for i in at:
+                got[i] = cache[ws[i]]
+        return [b"".join(got) for got in found]
 
     def _each(self, words: list[str]) -> list[bytes]:
         """Ids of each chunk, from one text of all; the last id of each of its words is one that ends words."""
