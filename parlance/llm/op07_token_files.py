@@ -76,7 +76,10 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = END_ID, tokenize
         fs, base = file_system(path)
         with fs.open_input_stream(f"{base}/dictionary-{digest}.zdict") as f:
             raw = f.read()
-        packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(raw) if raw else None)
+        shared = zstandard.ZstdCompressionDict(raw) if raw else None
+        if shared:
+            shared.precompute_compress(level=LEVEL)  # else each document digests the dictionary again
+        packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared)
         end, encode = int(end_id).to_bytes(4, "little"), encoder(tokenizer).encode
         name = f"part-{task.partitionId():08d}.zids"
         temporary = f"{base}/_{name}.{task.taskAttemptId()}"
