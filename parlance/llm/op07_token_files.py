@@ -29,7 +29,7 @@ from .common import load, scratch_path
 from .tokens import encoder
 
 NAME = "op7_token_files"
-END_ID, DICTIONARY_DOCS, DICTIONARY_BYTES, LEVEL, DOCS_PER_PART = 2, 2000, 64 * 1024, 3, 100_000
+END_ID, DICTIONARY_DOCS, DICTIONARY_BYTES, LEVEL, DOCS_PER_PART = 2, 1000, 32 * 1024, 3, 100_000
 HEAD, TAIL, NULL_ID = b"PZID0001", b"PZIDEND1", -(2**63)
 SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -115,6 +115,10 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = END_ID, tokenize
     return manifest
 
 
+def frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32"]).astype({"doc_id": "Int64"})
+
+
 class TokenFile:
     """One part, opened for reading: its index, and any document's ids without the others."""
 
@@ -146,6 +150,20 @@ class TokenFile:
         self.file.seek(offset)
         return self.unpacker.decompress(self.file.read(length), max_output_size=4 * n)
 
+    def all_ids(self, step: int = 1 << 22) -> Iterator[bytes]:
+        """Ids of every document in order; the file is read once, some MB at a time."""
+        import numpy as np
+
+        k = 0
+        while k < len(self.index):
+            first = int(self.index[k, 1])
+            last = max(k + 1, int(np.searchsorted(self.index[:, 1], first + step)))
+            self.file.seek(first)
+            raw = memoryview(self.file.read(int(self.index[last - 1, 1] + self.index[last - 1, 2]) - first))
+            for _, offset, length, n in self.index[k:last].tolist():
+                yield self.unpacker.decompress(raw[offset - first : offset - first + length], max_output_size=4 * n)
+            k = last
+
     def close(self) -> None:
         self.file.close()
 
@@ -160,14 +178,13 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
         for pdf in batches:
             for name, start in zip(pdf["file"], pdf["start"], strict=True):
                 part, rows, at = TokenFile(path, name), [], int(start)
-                for k in range(len(part.index)):
-                    ids = part.ids(k)
-                    doc_id = int(part.index[k, 0])
+                for (doc_id, *_), ids in zip(part.index.tolist(), part.all_ids(), strict=True):
                     rows.append((None if doc_id == NULL_ID else doc_id, at, len(ids) // 4, zlib.crc32(ids)))
                     at += len(ids) // 4
-                    if len(rows) == 10_000 or k + 1 == len(part.index):
-                        yield pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32"]).astype({"doc_id": "Int64"})
+                    if len(rows) == 10_000:
+                        yield frame(rows)
                         rows = []
+                yield frame(rows)
                 part.close()
 
     listed = spark.createDataFrame([(p["file"], p["start"]) for p in parts], "file string, start long")

@@ -33,32 +33,37 @@ class Encoder:
         import re
 
         import numpy as np
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path(path))
+        # the same model without the steps that words cut here have behind them
+        self.cutter = Tokenizer(self.tokenizer.model)
+        self.cutter.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
         self.find = re.compile(WORD).findall
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
         self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
-        self.cache: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.cache: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         self.cache_words = cache_words
         self.fast = (path is None or path.endswith(DEFAULT_TOKENIZER)) and self._agrees()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _agrees(self) -> bool:
         """Whether words alone give the same ids as whole texts, on a probe of all of Latin-1."""
-        probe = "".join(map(chr, [*range(1, 28), *range(32, 256)])) + " it's we'll x9y'd ÀÉ!!$%a1,b\xa0ñ''s"
-        self.fast, self.special = True, []
-        return self._words([probe])[0] == self._whole([probe])[0]
+        probe = "".join(map(chr, range(1, 256))) + " it's we'll x9y'd ÀÉ!!$%a1,b\xa0ñ''s"
+        return self._words([probe.lower().encode("latin-1")])[0] == self._whole([probe])[0]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         import numpy as np
 
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, texts: list[str]) -> list[bytes]:
-        cut = [t.lower().split() for t in texts]
+    def _words(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of lower-cased Latin-1 texts; bytes are smaller and quicker to cut than strings."""
+        cut = [t.split() for t in texts]
         found = [list(map(self.cache.get, ws)) for ws in cut]
         holes = [(ws, got, [i for i, x in enumerate(got) if x is None]) for ws, got in zip(cut, found, strict=True) if None in got]
         new = list({ws[i] for ws, _, at in holes for i in at})
@@ -75,25 +80,28 @@ class Encoder:
                 got[i] = cache[ws[i]]
         return [b"".join(got) for got in found]
 
-    def _each(self, words: list[str]) -> list[bytes]:
-        """Ids of each chunk, from one text of all; the last id of each of its words is one that ends words."""
+    def _each(self, chunks: list[bytes]) -> list[bytes]:
+        """Ids of each chunk, from one text of all their words; the last id of each word is one that ends words."""
         import numpy as np
 
-        ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.flatnonzero(self.ends[ids]) + 1
-        upto = np.cumsum([len(self.find(w)) for w in words])
-        if len(ends) != upto[-1] or ends[-1] != len(ids):
-            return self._whole(words)
-        raw, at = ids.tobytes(), [0, *(4 * ends[upto - 1]).tolist()]
+        words = [self.find(w.decode("latin-1")) for w in chunks]
+        text = " ".join([w for ws in words for w in ws])
+        ids = np.asarray(self.cutter.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.r_[0, np.flatnonzero(self.ends[ids]) + 1]
+        upto = np.cumsum([len(ws) for ws in words])
+        if len(ends) != upto[-1] + 1 or ends[-1] != len(ids):
+            return self._whole([w.decode("latin-1") for w in chunks])
+        raw, at = ids.tobytes(), [0, *(4 * ends[upto]).tolist()]
         return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
 
-    def simple(self, text: str) -> bool:
+    def simple(self, text: str) -> bytes | None:
+        """The text lower-cased in Latin-1, if it can be and holds no special token."""
         try:
+            low = text.lower().encode("latin-1")
             text.encode("latin-1")
         except UnicodeEncodeError:
-            return False
-        # str.split() also splits at \x1c-\x1f, which are no white space to the tokenizer
-        return not any(s in text for s in self.special) and not any(c in text for c in "\x1c\x1d\x1e\x1f")
+            return None
+        return None if any(s in text for s in self.special) else low
 
     def encode(self, texts) -> list[bytes]:
         """Ids of each text as bytes; null is an empty text. Memory follows the batch's size."""
@@ -101,13 +109,15 @@ class Encoder:
         if not self.fast:
             return self._whole(texts)
         out: list[bytes] = [b""] * len(texts)
-        simple = [self.simple(t) for t in texts]
-        easy = [k for k, ok in enumerate(simple) if ok]
-        hard = [k for k, ok in enumerate(simple) if not ok]
-        for at, how in ((easy, self._words), (hard, self._whole)):
-            for k in range(0, len(at), 64):
-                for i, b in zip(at[k : k + 64], how([texts[j] for j in at[k : k + 64]]), strict=True):
-                    out[i] = b
+        easy = [self.simple(t) for t in texts]
+        at = [k for k, t in enumerate(easy) if t is not None]
+        for k in range(0, len(at), 64):
+            for i, ids in zip(at[k : k + 64], self._words([easy[i] for i in at[k : k + 64]]), strict=True):
+                out[i] = ids
+        hard = [k for k, t in enumerate(easy) if t is None]
+        for k in range(0, len(hard), 64):
+            for i, ids in zip(hard[k : k + 64], self._whole([texts[i] for i in hard[k : k + 64]]), strict=True):
+                out[i] = ids
         return out
 
 
