@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 SPACES = r"\x20\x09-\x0D"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+_own: dict[str, str] = {}
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -22,8 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
     cluster names one; a fresh temporary folder only where it is unset (local tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="parlance-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        named = _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.gettempdir() + "/parlance-" + uuid.uuid4().hex)
     return named.rstrip("/")
 
 
