@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def auto_silence_ms(total_ms: Column) -> Column:
     """5 s up to 60 s of recording, 15 s from 300 s on, linear between."""
-    return (5000 + F.greatest(F.lit(0), F.least(F.lit(240_000), total_ms - 60_000)) * F.lit(10_000) / 240_000).cast("bigint")
+    return (5000 + F.greatest(F.lit(0), F.least(F.lit(240_000), total_ms - 60_000)) / 24).cast("bigint")
 
 
 def to_ms(seconds: Column) -> Column:

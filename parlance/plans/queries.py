@@ -397,10 +397,11 @@ def dedup_all_chunks(spark, d):
 
 
 EDITED = "CASE WHEN {k} % 5 = 0 THEN {t} WHEN {k} % 5 = 1 THEN upper({t}) WHEN {k} % 5 = 2 THEN replace({t}, 'e', '') WHEN {k} % 5 = 3 THEN concat({t}, ' ', {t}, ' ', {t}) ELSE '' END"
-HEAD_ROW = "SELECT conv_id, turn, substr(text, 1, 200) AS a FROM {c}"
+# ASCII only, as DuckDB's levenshtein counts bytes
+HEAD_ROW = "SELECT conv_id, turn, substr(regexp_replace(text, '[^ -~]', ''), 1, 200) AS a FROM {c}"
 
 
-@query(f"""WITH p AS (SELECT conv_id, turn, a, {EDITED.format(k="(conv_id + turn)", t="a")} AS b FROM (SELECT conv_id, turn, substr(text, 1, 200) AS a FROM conversations))
+@query(f"""WITH p AS (SELECT conv_id, turn, a, {EDITED.format(k="(conv_id + turn)", t="a")} AS b FROM (SELECT conv_id, turn, substr(regexp_replace(text, '[^ -~]', '', 'g'), 1, 200) AS a FROM conversations))
 SELECT conv_id, turn, levenshtein(a, b) AS distance, length(trim(b)) > 0 AND length(b) <= 2 * length(a) AND length(a) <= 2 * length(b)
   AND levenshtein(a, b) <= 0.5 * greatest(length(a), length(b)) AS safe FROM p""")
 def edit_safety(spark, d):
@@ -449,11 +450,11 @@ def snap_cuts(spark, d):
 
 
 @query("""WITH s AS (SELECT user_id, seg_id, start_ms, end_ms, 'the quick brown fox jumps over the lazy dog and runs away' AS content FROM segs),
-b AS (SELECT DISTINCT user_id, seg_id, t.start_ms AS at FROM s JOIN turns t USING (user_id) WHERE t.start_ms > s.start_ms AND t.start_ms < s.end_ms),
+b AS (SELECT DISTINCT user_id, seg_id, t.start_ms AS p_at FROM s JOIN turns t USING (user_id) WHERE t.start_ms > s.start_ms AND t.start_ms < s.end_ms),
 p AS (SELECT * FROM b UNION ALL SELECT user_id, seg_id, start_ms FROM s WHERE (user_id, seg_id) IN (SELECT (user_id, seg_id) FROM b)),
-c AS (SELECT p.*, content, start_ms AS s0, end_ms AS s1, coalesce(lead(at) OVER (PARTITION BY user_id, seg_id ORDER BY at), end_ms) AS nxt FROM p JOIN s USING (user_id, seg_id)),
-o AS (SELECT *, length(content) * (at - s0) // (s1 - s0) AS c0, length(content) * (nxt - s0) // (s1 - s0) AS c1 FROM c)
-SELECT user_id, seg_id, at AS start_ms, nxt AS end_ms, trim(substr(content, c0 + 1, c1 - c0)) AS content FROM o WHERE nxt - at >= 200 AND trim(substr(content, c0 + 1, c1 - c0)) <> ''""")
+c AS (SELECT p.*, content, start_ms AS s0, end_ms AS s1, coalesce(lead(p_at) OVER (PARTITION BY user_id, seg_id ORDER BY p_at), end_ms) AS nxt FROM p JOIN s USING (user_id, seg_id)),
+o AS (SELECT *, length(content) * (p_at - s0) // (s1 - s0) AS c0, length(content) * (nxt - s0) // (s1 - s0) AS c1 FROM c)
+SELECT user_id, seg_id, p_at AS start_ms, nxt AS end_ms, trim(substr(content, c0 + 1, c1 - c0)) AS content FROM o WHERE nxt - p_at >= 200 AND trim(substr(content, c0 + 1, c1 - c0)) <> ''""")
 def char_split(spark, d):
     segs = tl.segs(spark, d).withColumn("content", F.lit("the quick brown fox jumps over the lazy dog and runs away"))
     return sp.split_by_chars(segs, tl.turns(spark, d), "user_id", "seg_id")
@@ -561,3 +562,52 @@ def token_diff(spark, d):
 def neighbour_context(spark, d):
     out = sq.neighbour_context(_u(spark, d), n=2)
     return out.select("conv_id", "seq", F.nullif("before", F.lit("")).alias("before"), F.nullif("after", F.lit("")).alias("after"))
+
+
+@query("""SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS end, count(*) AS n FROM (
+  SELECT *, sum(CASE WHEN ts - prev < INTERVAL 30 MINUTE THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS grp FROM (
+    SELECT user_id, event_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events)) GROUP BY user_id, grp""")
+def session_windows(spark, d):
+    from ..streaming.paragraphs import sessions
+
+    out = sessions(tl.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+    return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+
+
+@query(r"""SELECT conv_id, seq, regexp_replace(regexp_replace(content, '\s+', ' ', 'g'), ' ([.,])', '\1', 'g') AS content FROM utterances""")
+def proofread_rules(spark, d):
+    from .providers import proofread, rules
+
+    return proofread(_u(spark, d), rules((r"[ \t\n\r\f\v]+", " "), (r" ([.,])", r"\1")), least=0).select("conv_id", "seq", "content")
+
+
+@query()
+def proofread_feedback(spark, d):
+    from .providers import proofread_in_order, rules
+
+    return proofread_in_order(_u(spark, d), rules((r"(?s).*Text: ", ""), ("the ", "The ")))
+
+
+@query("""SELECT conv_id, CASE WHEN conv_id % 2 = 0 THEN 'A' ELSE 'Conversation' END AS title, min(start_ms) AS start_ms, max(end_ms) AS end_ms FROM utterances WHERE speaker IS NOT NULL AND conv_id % 2 = 1 GROUP BY conv_id
+UNION ALL SELECT conv_id, 'A', min(start_ms), min(start_ms) + 1 FROM utterances WHERE speaker IS NOT NULL AND conv_id % 2 = 0 GROUP BY conv_id
+UNION ALL SELECT conv_id, 'B', min(start_ms) + 1, max(end_ms) FROM utterances WHERE speaker IS NOT NULL AND conv_id % 2 = 0 GROUP BY conv_id""")
+def structure_sections(spark, d):
+    from .providers import structure
+
+    u = _u(spark, d)
+    talk = u.where("speaker IS NOT NULL").groupBy("conv_id").agg(F.min("start_ms").alias("a"), F.max("end_ms").alias("b"))
+    # the reply travels in front of the text, so that a provider without a model can give it back; odd recordings get a broken one
+    reply = F.when(F.col("conv_id") % 2 == 0, F.format_string('{"sections":[{"title":"A","start_ms":%d,"end_ms":%d},{"title":"B","start_ms":%d,"end_ms":%d}]}', "a", F.col("a") + 1, F.col("a") + 1, "b")).otherwise("no")
+    told = u.join(talk.select("conv_id", reply.alias("r")), "conv_id").withColumn("content", F.concat("r", F.lit("\x1f"), "content"))
+
+    def echo():
+        return lambda text: text.split(": ", 1)[1].split("\x1f")[0]
+
+    return structure(told, echo, language="en")
+
+
+@query()
+def render_markdown(spark, d):
+    from .render import render
+
+    return render(tl.muted(spark, d), tl.sections(spark, d))
