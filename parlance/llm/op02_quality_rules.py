@@ -133,7 +133,10 @@ def quality_cascade(df: DataFrame, rules=RULES, text: str = "text", order: bool
     rules = estimate(df, rules, text) if order else list(rules)
     out = measures(df.drop("rejected_by", "kept"), text)
     named = out if text == "text" else out.withColumn("text", F.col(text))
-    return named.withColumn("rejected_by", verdict(rules)).withColumn("kept", F.col("rejected_by").isNull())
+    # The verdict passes through a generator of one row: the optimizer pushes no filter below it. A filter on ``kept`` would else be
+    # rewritten into the measures' expressions, whose size multiplies with every step.
+    judged = named.withColumn("_v", F.explode(F.array(F.struct(verdict(rules).alias("rejected_by")))))
+    return judged.withColumn("rejected_by", F.col("_v.rejected_by")).withColumn("kept", F.col("_v.rejected_by").isNull()).drop("_v")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
