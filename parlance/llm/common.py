@@ -59,6 +59,18 @@ def clean_scratch() -> None:
             remove(spark, path)
 
 
+#: Stands for a null id inside Python functions, where pandas would turn a column with nulls into inexact floats.
+NULL_ID = -(2**63)
+
+
+def id_in(name: str):
+    return F.coalesce(F.col(name).cast("long"), F.lit(NULL_ID)).alias(name)
+
+
+def id_out(df: DataFrame, name: str) -> DataFrame:
+    return df.withColumn(name, F.when(F.col(name) != NULL_ID, F.col(name)))
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, written
+from .common import id_in, id_out, load, written
 from .graph import components
 
 NAME = "op1_minhash_forest"
@@ -102,11 +102,9 @@ def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 n.append(len(s))
                 digest.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 sig.append(minima(s).astype(">u2").tobytes() if len(s) else None)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n_shingles": n, "digest": digest, "sig": sig})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_shingles": n, "digest": digest, "sig": sig})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
-        run, "doc_id long, n_shingles long, digest binary, sig binary"
-    )
+    return id_out(docs.select(id_in("doc_id"), "text").mapInPandas(run, "doc_id long, n_shingles long, digest binary, sig binary"), "doc_id")
 
 
 def agreement(one: np.ndarray, many: np.ndarray) -> np.ndarray:
@@ -173,7 +171,7 @@ COLUMNS = "kind string, block string, a long, b long, part long, key binary, sig
 def as_frame(pairs: list, rows: list, part: int) -> pd.DataFrame:
     out = [("pair", "", int(min(p)), int(max(p)), part, None, None) for p in dict.fromkeys(pairs)]
     out += [(kind, block, i, None, part, key, s) for kind, block, i, key, s in rows]
-    return pd.DataFrame(out, columns=[c.split()[0] for c in COLUMNS.split(", ")]).astype({"a": "Int64", "b": "Int64"})
+    return pd.DataFrame(out, columns=[c.split()[0] for c in COLUMNS.split(", ")], dtype=object).astype({"a": "Int64", "b": "Int64"})
 
 
 def sorted_regions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

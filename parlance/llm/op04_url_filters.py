@@ -88,24 +88,24 @@ def judge_urls(
 ) -> DataFrame:
     """All rows and columns of ``df`` plus ``host``, ``path``, ``rule`` and ``verdict``."""
     kept = [c for c in df.columns if c not in ("host", "path", "rule", "verdict")]
-    rows = host_path(df.drop("rule", "verdict"), url).withColumn("_row", F.monotonically_increasing_id())
+    rows = host_path(df.drop("rule", "verdict"), url).withColumn("_url_row", F.monotonically_increasing_id())
     # Hosts name a registered domain at most some labels deep; every suffix is looked up.
-    narrow = expand(rows.select("_row", "host", "path"))
+    narrow = expand(rows.select("_url_row", "host", "path"))
     known = rules.select(
-        F.col("_short"), F.col("_digest").alias("_full"), "rule", "rule_path", F.col("verdict").alias("_verdict")
+        F.col("_short"), F.col("_digest").alias("_full"), "rule", "rule_path", F.col("verdict").alias("_url_verdict")
     )
     if rules.limit(broadcast_rules + 1).count() <= broadcast_rules:
         met = narrow.join(F.broadcast(known), "_short")
     else:
         known = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        met = narrow.withColumn("_salt", F.pmod("_row", F.lit(salts)).cast("int")).join(known, ["_short", "_salt"])
+        met = narrow.withColumn("_salt", F.pmod("_url_row", F.lit(salts)).cast("int")).join(known, ["_short", "_salt"])
     won = (
         met.where((F.col("_digest") == F.col("_full")) & F.col("path").startswith(F.col("rule_path")))
-        .groupBy("_row")
-        .agg(F.max(F.struct(F.length("rule").alias("n"), (F.col("_verdict") == "block").alias("b"), "rule", "_verdict")).alias("_w"))
+        .groupBy("_url_row")
+        .agg(F.max(F.struct(F.length("rule").alias("n"), (F.col("_url_verdict") == "block").alias("b"), "rule", "_url_verdict")).alias("_url_won"))
     )
-    return rows.join(won, "_row", "left").select(
-        *kept, "host", "path", F.col("_w.rule").alias("rule"), F.coalesce("_w._verdict", F.lit(default)).alias("verdict")
+    return rows.join(won, "_url_row", "left").select(
+        *kept, "host", "path", F.col("_url_won.rule").alias("rule"), F.coalesce("_url_won._url_verdict", F.lit(default)).alias("verdict")
     )
 
 

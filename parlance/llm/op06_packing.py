@@ -21,9 +21,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from .common import load, written
+from .common import id_in, id_out, load, written
 from .tokens import encoder
 
 NAME = "op6_packing"
@@ -87,8 +86,7 @@ class Bins:
 
 
 def frame(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=NAMES)
-    return out.astype({"doc_id": "Int64", "sequence_id": "Int64", "offset": "Int64"})
+    return pd.DataFrame(rows, columns=NAMES, dtype=object).astype({c: "Int64" for c in NAMES})
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str | None = None) -> DataFrame:
@@ -104,7 +102,6 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, tokeni
                 for doc_id, ids in zip(part["doc_id"].tolist(), encode(part["text"].tolist()), strict=True):
                     ids += end
                     n = len(ids) // 4
-                    doc_id = None if doc_id != doc_id or doc_id is None else int(doc_id)
                     for start, length, k in pieces(n, capacity):
                         bins.add(k, (doc_id, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), n))
             yield frame(bins.take())
@@ -113,7 +110,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, tokeni
     def second_round(key, pdf: pd.DataFrame) -> pd.DataFrame:
         bins = Bins((1 << 60) + (int(key[0]) << 36), capacity)
         for row in pdf.sort_values(["doc_id", "start", "length", "ids_crc32"])[NAMES[:5]].itertuples(index=False):
-            bins.add(int(key[0]), tuple(None if x is pd.NA else int(x) for x in row))
+            bins.add(int(key[0]), tuple(map(int, row)))
         return frame(bins.take() + bins.left())
 
     def last_round(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -121,7 +118,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, tokeni
         rows = []
         pdf = pd.concat([frame([]), *batches])
         for row in pdf.sort_values(["length", "doc_id", "start"], ascending=False)[NAMES[:5] + ["bin_class"]].itertuples(index=False):
-            *piece, k = (None if x is pd.NA else int(x) for x in row)
+            *piece, k = map(int, row)
             at = next((i for i, u in enumerate(used) if u + piece[2] <= capacity), len(used))
             if at == len(used):
                 used.append(0)
@@ -129,13 +126,13 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, tokeni
             used[at] += piece[2]
         yield frame(rows)
 
-    first = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(first_round, COLUMNS), "op6-first")
+    first = written(docs.select(id_in("doc_id"), "text").mapInPandas(first_round, COLUMNS), "op6-first")
     open1 = first.where("sequence_id IS NULL")
     second = written(open1.groupBy("bin_class").applyInPandas(second_round, COLUMNS), "op6-second")
     # at most k - 1 pieces for each class and one open sequence of small ones
     last = second.where("sequence_id IS NULL").coalesce(1).mapInPandas(last_round, COLUMNS)
     full = "sequence_id IS NOT NULL"
-    return first.where(full).unionByName(second.where(full)).unionByName(last)
+    return id_out(first.where(full).unionByName(second.where(full)).unionByName(last), "doc_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

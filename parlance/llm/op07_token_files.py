@@ -10,7 +10,7 @@ Parts are written by tasks to a name of their own and moved when complete, so a
 same file. The driver sees one row per part. Paths are those of pyarrow's file systems (local, HDFS, S3).
 
 Defined results: a null or empty text is its end id alone; rows of the same doc_id follow one another; a null doc_id is
-written as the smallest long and read back as null; an empty table gives one empty part; further columns do not matter.
+kept as the smallest long and read back as null; an empty table gives no part; further columns do not matter.
 """
 
 from __future__ import annotations
@@ -25,12 +25,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, scratch_path
+from .common import id_in, id_out, load, scratch_path
 from .tokens import encoder
 
 NAME = "op7_token_files"
 END_ID, DICTIONARY_DOCS, DICTIONARY_BYTES, LEVEL, DOCS_PER_PART = 2, 1000, 32 * 1024, 3, 100_000
-HEAD, TAIL, NULL_ID = b"PZID0001", b"PZIDEND1", -(2**63)
+HEAD, TAIL = b"PZID0001", b"PZIDEND1"
 SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
@@ -59,7 +59,7 @@ def train_dictionary(docs: DataFrame, end_id: int, tokenizer: str | None, n: int
 def write_token_files(docs: DataFrame, path: str, end_id: int = END_ID, tokenizer: str | None = None) -> dict:
     """Write ``docs`` (doc_id, text) below ``path``; returns the manifest."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(id_in("doc_id"), "text")
     n = docs.count()
     dictionary = train_dictionary(docs, end_id, tokenizer, n)
     digest = hashlib.sha256(dictionary).hexdigest()
@@ -93,7 +93,7 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = END_ID, tokenize
                         ids += end
                         frame = packer.compress(ids)
                         out.write(frame)
-                        index.append((NULL_ID if doc_id is None or doc_id != doc_id else int(doc_id), at, len(frame), len(ids) // 4))
+                        index.append((doc_id, at, len(frame), len(ids) // 4))
                         at, total = at + len(frame), total + len(ids) // 4
             out.write(np.array(index, "<i8").reshape(-1, 4).tobytes() + len(index).to_bytes(8, "little") + TAIL)
         final = f"{base}/{name}"
@@ -103,7 +103,7 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = END_ID, tokenize
         yield pd.DataFrame({"part": [task.partitionId()], "file": [name], "docs": [len(index)], "tokens": [total]})
 
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-n // DOCS_PER_PART)) if n else 1
-    ordered = docs.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    ordered = docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
     made = ordered.mapInPandas(write, "part long, file string, docs long, tokens long").collect()  # a row for each part
     start, listed = 0, []
     for r in sorted(made, key=lambda r: r["part"]):
@@ -116,7 +116,7 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = END_ID, tokenize
 
 
 def frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32"]).astype({"doc_id": "Int64"})
+    return pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32"], dtype="int64")
 
 
 class TokenFile:
@@ -179,7 +179,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
             for name, start in zip(pdf["file"], pdf["start"], strict=True):
                 part, rows, at = TokenFile(path, name), [], int(start)
                 for (doc_id, *_), ids in zip(part.index.tolist(), part.all_ids(), strict=True):
-                    rows.append((None if doc_id == NULL_ID else doc_id, at, len(ids) // 4, zlib.crc32(ids)))
+                    rows.append((doc_id, at, len(ids) // 4, zlib.crc32(ids)))
                     at += len(ids) // 4
                     if len(rows) == 10_000:
                         yield frame(rows)
@@ -187,8 +187,10 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 yield frame(rows)
                 part.close()
 
+    if not parts:
+        return spark.createDataFrame([], SCHEMA)
     listed = spark.createDataFrame([(p["file"], p["start"]) for p in parts], "file string, start long")
-    return listed.repartition(len(parts)).mapInPandas(read, SCHEMA)
+    return id_out(listed.repartition(len(parts)).mapInPandas(read, SCHEMA), "doc_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
