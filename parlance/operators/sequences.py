@@ -116,14 +116,19 @@ def cutoffs(total: DataFrame, key: str, over_ms: int = 600_000, size_ms: int = 4
 
 
 def boundary_windows(u: DataFrame, cuts: DataFrame, key: str, k: int = 5) -> DataFrame:
-    """The last ``k`` rows before each cutoff and the first ``k`` at or after it, by start."""
+    """The last ``k`` rows that start before each cutoff and the first ``k`` at or after it.
+
+    A cutoff's place among the numbered rows comes from one merged order, so each meets 2 ``k`` rows, however long the recording."""
     return u.sparkSession.sql(
         f"""
-SELECT {key}, boundary, side, rank, seq FROM (
-  SELECT u.{key}, c.boundary, u.seq, CASE WHEN u.start_ms < c.cutoff_ms THEN 'tail' ELSE 'head' END AS side,
-    row_number() OVER (PARTITION BY u.{key}, c.boundary, u.start_ms < c.cutoff_ms
-      ORDER BY CASE WHEN u.start_ms < c.cutoff_ms THEN -u.seq ELSE u.seq END) AS rank
-  FROM {{u}} u JOIN {{c}} c ON u.{key} = c.{key}) WHERE rank <= {k}""",
+WITH r AS (SELECT {key}, seq, start_ms, row_number() OVER (PARTITION BY {key} ORDER BY start_ms, seq) AS rn FROM {{u}}),
+m AS (SELECT {key}, boundary, n FROM (
+  SELECT *, count(rn) OVER (PARTITION BY {key} ORDER BY t, kind ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM (
+    SELECT {key}, start_ms AS t, 1 AS kind, rn, CAST(NULL AS BIGINT) AS boundary FROM r
+    UNION ALL SELECT {key}, cutoff_ms, 0, NULL, boundary FROM {{c}})) WHERE kind = 0),
+p AS (SELECT *, explode(sequence({1 - k}, {k})) AS o FROM m)
+SELECT p.{key}, p.boundary, CASE WHEN o <= 0 THEN 'tail' ELSE 'head' END AS side, CASE WHEN o <= 0 THEN 1 - o ELSE o END AS rank, r.seq
+FROM p JOIN r ON p.{key} = r.{key} AND r.rn = p.n + p.o""",
         u=u,
         c=cuts,
     )
