@@ -47,7 +47,7 @@ OFFSETS = _rng.integers(0, 2**63, TREES * DEPTH, dtype=np.uint64)
 class Shingler:
     """Sorted distinct 64-bit shingle hashes of texts; a bounded cache holds the hashes of words."""
 
-    def __init__(self, width: int, cache_words: int = 400_000):
+    def __init__(self, width: int, cache_words: int = 200_000):
         self.width, self.cache_words = width, cache_words
         self.cache: dict[bytes, int] = {}
 
