@@ -611,3 +611,26 @@ def render_markdown(spark, d):
     from .render import render
 
     return render(tl.muted(spark, d), tl.sections(spark, d))
+
+
+@query("""SELECT user_id, arg_max(event_type, row(n, -f)) AS event_type, max(n) AS votes FROM (
+  SELECT user_id, event_type, count(*) AS n, min(event_id) AS f FROM events GROUP BY user_id, event_type) GROUP BY user_id""")
+def majority_vote(spark, d):
+    return ag.majority(tl.table(spark, d, "events"), ["user_id"], "event_type", "event_id")
+
+
+@query("""SELECT source, count(*) AS total, count(*) FILTER (WHERE lang = 'unchanged') AS unchanged, count(*) FILTER (WHERE lang = 'en') AS en, count(*) FILTER (WHERE lang = 'de') AS de,
+  round_even(count(*) FILTER (WHERE lang <> 'unchanged') * 100.0 / count(*), 1)::DOUBLE AS hit_pct FROM documents GROUP BY source""")
+def sweep_summary(spark, d):
+    from ..operators.segments import sweep
+
+    return sweep(tl.table(spark, d, "documents"), "source", "lang", ["unchanged", "en", "de"])
+
+
+@query("""SELECT s.conv_id, s.n = 1 AND s.t IN ('T0', 'T1') AND s.a = u.first AND s.b = u.last AS synthetic FROM
+  (SELECT conv_id, count(*) AS n, min(title) AS t, min(start_ms) AS a, max(end_ms) AS b FROM sections GROUP BY conv_id) s JOIN
+  (SELECT conv_id, arg_min(start_ms, seq) AS first, arg_max(end_ms, seq) AS last FROM utterances GROUP BY conv_id) u USING (conv_id)""")
+def fallback_sections(spark, d):
+    from ..operators.segments import is_fallback
+
+    return is_fallback(tl.sections(spark, d), _u(spark, d), titles=("T0", "T1"))
