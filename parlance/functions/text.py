@@ -11,8 +11,26 @@ TOKEN = "[A-Za-zА-яҐґЄєІіЇї0-9']+"
 # Short English back-channel words.
 FILLERS = ["yes", "yeah", "yep", "yup", "okay", "ok", "sure", "right", "mhm", "uh-huh", "mm", "hmm", "uh", "um"]
 FILLER_MARKS = ".,!?…"
-#: Words of one or two letters that are whole words, not cut ones.
-SHORT_WORDS = ["a", "i", "an", "am", "as", "at", "be", "by", "do", "go", "he", "if", "in", "is", "it", "me", "my", "no", "of", "oh", "ok", "on", "or", "so", "to", "up", "us", "we", "в", "з", "і", "й", "а", "о", "у", "на", "не", "ні", "що", "це", "як", "та", "ти", "ви", "ми", "він", "до", "за", "по", "так", "же", "бо", "чи"]
+# One- and two-letter words that are not cut ones.
+SHORT_WORDS = [
+    "і", "у", "в", "з", "до", "на", "не", "це", "та", "як",
+    "i", "a", "is", "it", "of", "to", "in", "on", "no", "ok", "um",
+    "so", "we", "he", "be", "by", "an", "or", "as", "at", "if", "do",
+]
+# What the redaction topics are called in prompts.
+TOPIC_LABELS = {
+    "health": "здоров'я (діагнози, симптоми, медичні процедури, психічне здоров'я)",
+    "drugs": "наркотики (вживання, придбання)",
+    "alcohol": "алкоголь (звички пиття, анекдоти про сп'яніння)",
+    "legal": "правові проблеми",
+    "finance": "фінансові деталі (зарплати, борги)",
+    "sexual": "сексуальний контент",
+}
+# Fixed value: the marks that a comparison of wordings leaves out.
+MARKS = r"[.,!?;:\"'()—–\-«»…]"
+
+
+EDGES = r"(?U)^\s+|\s+$"
 
 
 def tokens(text: Column) -> Column:
@@ -33,16 +51,16 @@ def collapse(text: Column) -> Column:
 
 def normalize(text: Column) -> Column:
     """Lower case, punctuation dropped, white space collapsed."""
-    return collapse(F.regexp_replace(F.lower(text), r"[.,!?;:()\[\]\"'«»…—–-]", ""))
+    return collapse(F.regexp_replace(F.lower(text), MARKS, ""))
 
 
 def strip_artifacts(text: Column) -> Column:
     """Trimmed; without one pair of matching quotes; without a label ``Text: `` in front."""
-    t = F.trim(text)
+    t = F.regexp_replace(text, EDGES, "")
     first, last = F.substring(t, 1, 1), F.substring(t, -1, 1)
     quoted = (F.length(t) >= 2) & (first == last) & first.isin('"', "'", "`")
-    t = F.when(quoted, F.trim(F.substring(t, F.lit(2), F.length(t) - 2))).otherwise(t)
-    return F.trim(F.regexp_replace(t, "^Text: ", ""))
+    t = F.when(quoted, F.regexp_replace(F.substring(t, F.lit(2), F.length(t) - 2), EDGES, "")).otherwise(t)
+    return F.regexp_replace(t, "^Text: ", "")
 
 
 def edit_is_safe(original: Column, edited: Column, max_edit: float = 0.5, max_ratio: float = 2.0) -> Column:
@@ -67,8 +85,8 @@ def is_filler(text: Column) -> Column:
 
 
 def is_truncated(token: Column) -> Column:
-    """Empty, a hyphen at either end, or at most two letters that are no word."""
-    t = F.lower(F.trim(token))
+    """Empty, a hyphen at either end, or at most two letters that are no word. Tokens are lower-cased already."""
+    t = token
     return (F.length(t) == 0) | t.startswith("-") | t.endswith("-") | ((F.length(t) <= 2) & ~t.isin(SHORT_WORDS))
 
 
@@ -84,7 +102,16 @@ def label(name: Column, speaker: Column, fallback: str | None = None) -> Column:
 
 
 def strip_summary_heading(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?i)\A\s*#*\s*\**tl;?dr\**:?\s*\n+", "")
+    """Without a heading that repeats the summary's own: ``# TL;DR`` or ``**TL;DR**`` on a line by itself."""
+    bare = F.regexp_replace(text, r"(?i)\A\s*(?:#{1,6}\s*TL;?DR\s*\n+|\*\*TL;?DR:?\*\*\s*\n+)", "")
+    return F.regexp_replace(bare, r"\A\n+", "")
+
+
+def topic_labels(topics: list[str], language: str) -> str:
+    """Topics as a prompt names them: a comma list in English, else one line each; unknown ones stay."""
+    if language.startswith("en"):
+        return ", ".join(topics)
+    return "\n".join(f"- {TOPIC_LABELS.get(t, t)}" for t in topics)
 
 
 def short_model_name(name: Column) -> Column:
@@ -120,10 +147,10 @@ def token_diff(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def edit_category(a: Column, b: Column, diff: Column) -> Column:
     """unchanged, cosmetic, proper_noun_fix or substantive_rewrite."""
-    proper = F.exists(diff, lambda t: t.rlike("[A-Za-z]") | t.rlike(r"\p{Ll}\p{Lu}"))
+    proper = F.exists(diff, lambda t: t.rlike("[A-Za-z]"))
     return (
         F.when(collapse(a) == collapse(b), "unchanged")
-        .when(normalize(a) == normalize(b), "cosmetic")
+        .when((normalize(a) == normalize(b)) | (F.size(diff) == 0), "cosmetic")
         .when(proper, "proper_noun_fix")
         .otherwise("substantive_rewrite")
     )

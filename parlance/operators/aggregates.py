@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# The colours of speakers, in order of first appearance.
+PALETTE = ["🔵", "🟢", "🔴", "🟡", "🟣", "🟠", "🟤", "⚪️", "⚫️"]
+
 
 def first_appearance(u: DataFrame, key: str = "conv_id") -> DataFrame:
     """Start of each speaker's first row in list order, and the rank of speakers by it."""

@@ -80,8 +80,8 @@ def sweep(results: DataFrame, parameter: str, category: str, domain: list[str])
 
 def language_cell(language: Column, top1: Column, p1: Column, top2: Column, p2: Column, agreement: Column) -> Column:
     """Language as the header shows it: given by the user, or detected, with the runner-up and how the attempts agreed."""
-    second = F.when(top2.isNotNull(), F.format_string(", %s %.2f", top2, p2)).otherwise("")
-    how = F.when(agreement == "agree", ", 2 attempts agree").when(agreement == "disagree", ", attempts disagree").otherwise("")
-    return F.when(top1.isNull(), F.concat(language, F.lit(" *(user-specified)*"))).otherwise(
-        F.concat(top1, F.lit(" *(auto: "), F.format_string("%.2f", p1), second, how, F.lit(")*"))
+    second = F.when(top2.isNotNull(), F.format_string(", %s=%.2f", top2, p2)).otherwise("")
+    how = F.when(agreement == "agree", ", 2/2 agree").when(agreement == "disagree", ", 2/2 disagree, picked higher prob").otherwise("")
+    return F.when(top1.isNull(), F.concat(language, F.lit(" (user-specified)"))).otherwise(
+        F.concat(top1, F.lit(" (auto-detected="), F.format_string("%.2f", p1), second, how, F.lit(")"))
     )

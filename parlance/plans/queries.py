@@ -20,7 +20,7 @@ from . import timeline as tl
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-PALETTE = ["🔵", "🟢", "🟡", "🟠", "🔴", "🟣", "🟤", "⚫", "⚪"]
+PALETTE = ag.PALETTE
 TILE = 60_000
 
 
@@ -412,7 +412,7 @@ def edit_safety(spark, d):
 ORACLES["edit_safety"] = ORACLES["edit_safety"].replace("levenshtein(a, b) AS distance", "levenshtein(a, b)::BIGINT AS distance")
 
 
-@query(r"""SELECT conv_id, turn, trim(regexp_replace(regexp_replace(lower(text), '[.,!?;:()\[\]"''«»…—–-]', '', 'g'), '\s+', ' ', 'g')) AS norm FROM conversations""")
+@query(r"""SELECT conv_id, turn, trim(regexp_replace(regexp_replace(lower(text), '[.,!?;:"''()—–\-«»…]', '', 'g'), '\s+', ' ', 'g')) AS norm FROM conversations""")
 def normalize(spark, d):
     return tl.table(spark, d, "conversations").select("conv_id", "turn", tx.normalize(F.col("text")).alias("norm"))
 
@@ -461,9 +461,9 @@ def char_split(spark, d):
 
 
 @query(f"""SELECT conv_id, seq, count(*) AS n, count(*) FILTER (WHERE t = '' OR starts_with(t, '-') OR suffix(t, '-') OR (length(t) <= 2 AND t NOT IN ({", ".join(repr(x) for x in tx.SHORT_WORDS)}))) AS cut
-FROM (SELECT conv_id, seq, lower(trim(unnest(string_split(content, ' ')))) AS t FROM utterances) GROUP BY conv_id, seq""")
+FROM (SELECT conv_id, seq, unnest(string_split(lower(content), ' ')) AS t FROM utterances) GROUP BY conv_id, seq""")
 def truncated_tokens(spark, d):
-    w = _u(spark, d).select("conv_id", "seq", F.explode(F.split("content", " ")).alias("w"))
+    w = _u(spark, d).select("conv_id", "seq", F.explode(F.split(F.lower("content"), " ")).alias("w"))
     return w.groupBy("conv_id", "seq").agg(F.count("*").alias("n"), F.count_if(tx.is_truncated(F.col("w"))).alias("cut"))
 
 

@@ -9,7 +9,7 @@ from ..functions import timefmt as tf
 from ..operators import aggregates as ag
 from ..operators import sequences as sq
 
-PALETTE = ["🔵", "🟢", "🟡", "🟠", "🔴", "🟣", "🟤", "⚫", "⚪"]
+PALETTE = ag.PALETTE
 
 
 def section_bodies(u: DataFrame, sections: DataFrame, key: str = "conv_id", least_ms: int = sq.MIN_SILENCE_MS) -> DataFrame:

@@ -302,7 +302,7 @@ def test_prompts():
     with pytest.raises(KeyError):
         p.render(a=1)
     assert [prompts.scalar(x) for x in ("null", "true", "3", "1.5", "'q'", "[1, 2]", "[a, b]", "word")] == [None, True, 3, 1.5, "q", [1, 2], ["a", "b"], "word"]
-    assert prompts.with_context("p", " ", "uk") == "p" and prompts.with_context("p", "c", "en").startswith("User context")
+    assert prompts.with_context("p", " ", "uk") == "p" and prompts.with_context("p", "c", "en").startswith("The user described")
 
 
 def test_dumps(spark, tmp_path):

@@ -39,4 +39,4 @@ def test_sweep_and_language_cell(spark):
     assert got == {0: (2, 1, 50.0), 3: (1, 0, 0.0)}
     row = spark.createDataFrame([("uk", "uk", 0.7, "ru", 0.2, "agree"), ("en", None, None, None, None, None)], "l string, a string, p double, b string, q double, g string")
     cell = sg.language_cell(*[F.col(c) for c in "lapbqg"])
-    assert [r[0] for r in row.select(cell).collect()] == ["uk *(auto: 0.70, ru 0.20, 2 attempts agree)*", "en *(user-specified)*"]
+    assert [r[0] for r in row.select(cell).collect()] == ["uk (auto-detected=0.70, ru=0.20, 2/2 agree)", "en (user-specified)"]
