@@ -401,17 +401,32 @@ EDITED = "CASE WHEN {k} % 5 = 0 THEN {t} WHEN {k} % 5 = 1 THEN upper({t}) WHEN {
 HEAD_ROW = "SELECT conv_id, turn, substr(regexp_replace(text, '[^ -~]', ''), 1, 200) AS a FROM {c}"
 
 
+def _edits(spark, d):
+    """Whole texts, each with an edited form."""
+    return tl.table(spark, d, "conversations").selectExpr("conv_id", "turn", "text AS a").withColumn("b", F.expr(EDITED.format(k="(conv_id + turn)", t="a")))
+
+
+def _safety(p):
+    return p.select("conv_id", "turn", F.levenshtein("a", "b").cast("long").alias("distance"), tx.edit_is_safe(F.col("a"), F.col("b")).alias("safe"))
+
+
 @query(f"""WITH p AS (SELECT conv_id, turn, a, {EDITED.format(k="(conv_id + turn)", t="a")} AS b FROM (SELECT conv_id, turn, substr(regexp_replace(text, '[^ -~]', '', 'g'), 1, 200) AS a FROM conversations))
 SELECT conv_id, turn, levenshtein(a, b) AS distance, length(trim(b)) > 0 AND length(b) <= 2 * length(a) AND length(a) <= 2 * length(b)
   AND levenshtein(a, b) <= 0.5 * greatest(length(a), length(b)) AS safe FROM p""")
 def edit_safety(spark, d):
     p = spark.sql(HEAD_ROW, c=tl.table(spark, d, "conversations")).withColumn("b", F.expr(EDITED.format(k="(conv_id + turn)", t="a")))
-    return p.select("conv_id", "turn", F.levenshtein("a", "b").cast("long").alias("distance"), tx.edit_is_safe(F.col("a"), F.col("b")).alias("safe"))
+    return _safety(p)
 
 
 ORACLES["edit_safety"] = ORACLES["edit_safety"].replace("levenshtein(a, b) AS distance", "levenshtein(a, b)::BIGINT AS distance")
 
 
+# whole texts in any script; without SQL, as DuckDB's levenshtein counts bytes. edit_safety keeps its SQL and so the first 200 ASCII characters.
+@query()
+def edit_safety_whole(spark, d):
+    return _safety(_edits(spark, d))
+
+
 @query(r"""SELECT conv_id, turn, trim(regexp_replace(regexp_replace(lower(text), '[.,!?;:"''()—–\-«»…]', '', 'g'), '\s+', ' ', 'g')) AS norm FROM conversations""")
 def normalize(spark, d):
     return tl.table(spark, d, "conversations").select("conv_id", "turn", tx.normalize(F.col("text")).alias("norm"))
@@ -550,8 +565,7 @@ def speaker_chunks(spark, d):
 
 @query()
 def token_diff(spark, d):
-    p = spark.sql(HEAD_ROW, c=tl.table(spark, d, "conversations")).withColumn("b", F.expr(EDITED.format(k="(conv_id + turn)", t="a")))
-    p = p.withColumn("diff", tx.token_diff("a", "b"))
+    p = _edits(spark, d).withColumn("diff", tx.token_diff("a", "b"))
     return p.select("conv_id", "turn", F.size("diff").alias("n_diff"), tx.edit_category(F.col("a"), F.col("b"), F.col("diff")).alias("category"))
 
 
