@@ -368,7 +368,7 @@ def jaccard_pairs(spark, d):
 
 def _boundary(spark, d):
     """Two overlapping chunks of a conversation: rows to turn 3, and rows from turn 2 on, the latter shifted back in time."""
-    u = _u(spark, d).select("conv_id", "seq", "start_ms", "end_ms", "content", F.slice(tx.tokens(F.col("content")), 1, 12).alias("tok"))
+    u = _u(spark, d).select("conv_id", "seq", "start_ms", "end_ms", "content", tx.tokens(F.col("content")).alias("tok"))
     tail = u.where("seq <= 3")
     head = u.where("seq >= 2").withColumns({"start_ms": F.col("start_ms") - 20_000, "end_ms": F.col("end_ms") - 20_000})
     return tail, head
@@ -386,6 +386,12 @@ o AS (SELECT n.conv_id, n.seq, n.tok, h.tok AS htok FROM s JOIN h ON h.conv_id =
 p AS (SELECT conv_id FROM (SELECT conv_id, flatten(list(tok)) AS tok, any_value(htok) AS htok FROM o GROUP BY conv_id) WHERE {JAC.format("htok", "tok")} >= 0.3)
 SELECT m.conv_id, 'head' AS side, m.seq FROM m JOIN s USING (conv_id) WHERE stop IS NULL OR m.seq < stop UNION ALL SELECT conv_id, 'tail', seq FROM o WHERE conv_id IN (SELECT conv_id FROM p)""")
 def boundary_dedup(spark, d):
+    return dd.dedup_boundary(*(x.withColumn("tok", F.slice("tok", 1, 12)) for x in _boundary(spark, d)))
+
+
+# all tokens of a row, as dedup_all_chunks takes them; boundary_dedup keeps its SQL and so the first 12
+@query()
+def boundary_dedup_whole(spark, d):
     return dd.dedup_boundary(*_boundary(spark, d))
 
 

@@ -1,6 +1,12 @@
 """Queries on whole rows, where the driver's SQL has no part: small tables and brute force."""
 
+import random
+import re
+
+from parlance.functions.text import TOKEN
+from parlance.operators.dedup import join_chunks
 from parlance.plans import queries as q
+from parlance.plans import timeline as tl
 
 
 def conversations(spark, folder, rows):
@@ -43,3 +49,34 @@ def test_token_diff_reads_whole_texts(spark, tmp_path):
     got = {r["conv_id"]: (r["n_diff"], r["category"]) for r in q.QUERIES["token_diff"](spark, d).collect()}
     # the, bee, sees, the and end change, in front of and behind words that do not
     assert got == {2: (10, "proper_noun_fix"), 7: (1, "proper_noun_fix"), 5: (0, "unchanged")}
+
+
+def test_boundary_dedup_takes_all_tokens(spark, tmp_path):
+    r = random.Random(11)
+    opening = " ".join(f"o{i}" for i in range(12))
+    body = lambda k: " ".join(f"b{k}x{i}" for i in range(30))
+    rows = []
+    for c in range(60):
+        for t in range(7):
+            start = opening if r.random() < 0.6 else " ".join(f"s{c}x{t}x{i}" for i in range(12))
+            rows.append((c, t, "user", f"{start} {body(r.randint(0, 2))}"))
+    d = conversations(spark, tmp_path, rows)
+    sides = {}
+    for u in tl.utterances(spark, d).orderBy("conv_id", "seq").collect():
+        tail, head = sides.setdefault(u["conv_id"], ([], []))
+        tokens = [w.lower() for w in re.findall(TOKEN, u["content"])]
+        if u["seq"] <= 3:
+            tail.append({"id": ("tail", u["seq"]), "start_ms": u["start_ms"], "end_ms": u["end_ms"], "tokens": tokens})
+        if u["seq"] >= 2:
+            head.append({"id": ("head", u["seq"]), "start_ms": u["start_ms"] - 20_000, "end_ms": u["end_ms"] - 20_000, "tokens": tokens})
+
+    def dropped(most):
+        out = []
+        for c, both in sides.items():
+            tail, head = ([x | {"tokens": x["tokens"][:most]} for x in rows_] for rows_ in both)
+            kept = {x["id"] for x in join_chunks(tail, head)}
+            out += [(c, *x["id"]) for x in [*tail, *head] if x["id"] not in kept]
+        return sorted(out)
+
+    assert dropped(12) != dropped(None)  # the first 12 tokens give other rows
+    assert sorted(map(tuple, q.QUERIES["boundary_dedup_whole"](spark, d).collect())) == dropped(None)
