@@ -7,7 +7,9 @@ share their first ``LEAST`` minima form a region. Neighbours by longest common p
 * a region of up to ``SMALL`` rows gives all its pairs;
 * a larger one, up to ``BLOCK`` rows, gives pairs with its centres only (the row that agrees best with the most
   frequent minima, then the best of those it does not explain, and so on);
-* one beyond ``BLOCK`` rows is split where the common prefix gets longer, level by level: the depth adapts to the region;
+* one beyond ``BLOCK`` rows is split where the common prefix gets longer, level by level: the depth adapts to the region.
+  Since rows whose next minimum is their own leave such a split alone, the whole region is also compared with its centres
+  and split again in ``ORDERS`` other orders of the minima;
 * a region that a partition's edge cuts is put together again from both sides.
 
 Pairs whose signatures (``TREES * DEPTH`` minima, a byte each) agree in less than ``LIKELY`` are left out: for a link at the
@@ -37,11 +39,14 @@ NAME = "op1_minhash_forest"
 WIDTH, PERCENT = 5, 80
 TREES, DEPTH, LEAST = 10, 12, 2
 SMALL, BLOCK, CENTRES, LIKELY = 12, 2048, 16, 0.655
+ORDERS, LEVELS = 8, 36
 ROW_BYTES = 1 + 2 * DEPTH
 
 _rng = np.random.default_rng(20240229)
 FACTORS = _rng.integers(0, 2**63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 OFFSETS = _rng.integers(0, 2**63, TREES * DEPTH, dtype=np.uint64)
+#: One set of other orders for each tree, so that the trees differ in them too.
+COLUMN_ORDERS = [[_rng.permutation(TREES * DEPTH)[:LEVELS] for _ in range(ORDERS)] for _ in range(TREES)]
 
 
 class Shingler:
@@ -118,8 +123,10 @@ def all_pairs(ids: np.ndarray, sig: np.ndarray, likely: float) -> list[tuple[int
     return out
 
 
-def centre_pairs(ids: np.ndarray, sig: np.ndarray, likely: float) -> list[tuple[int, int]]:
-    """Pairs of a region's centres with the rows that they explain; what is left at the end is small or left to round two."""
+def centre_pairs(ids: np.ndarray, sig: np.ndarray, likely: float, centres: list | None = None) -> list[tuple[int, int]]:
+    """Pairs of a region's centres with the rows that they explain; what is left at the end is small or left to round two.
+
+    The centres are added to ``centres``."""
     out, left = [], np.arange(len(ids))
     for _ in range(CENTRES):
         if len(left) <= SMALL:
@@ -127,6 +134,8 @@ def centre_pairs(ids: np.ndarray, sig: np.ndarray, likely: float) -> list[tuple[
         part = sig[left]
         modes = np.array([np.bincount(c, minlength=256).argmax() for c in part.T], np.uint8)
         centre = left[agreement(modes, part).argmax()]
+        if centres is not None:
+            centres.append((ids[centre], sig[centre]))
         near = agreement(sig[centre], sig) >= likely
         out += [(ids[centre], x) for x in ids[near] if x != ids[centre]]
         left = left[~near[left]]
@@ -140,6 +149,39 @@ class Regions:
         self.name, self.likely, self.blocks = name, likely, 0
         self.pairs: list[tuple[int, int]] = []
         self.rows: list[tuple[str, str, int, bytes, bytes]] = []  # (kind, block, doc, key, sig)
+        self.prefix, self.centres = b"", []
+
+    def take(self, keys: list[bytes], ids: np.ndarray, sig: np.ndarray) -> None:
+        """A region or, beyond what memory holds, the next piece of one."""
+        self.region(keys, ids, sig)
+        prefix = keys[0][: 1 + 2 * LEAST]
+        if len(ids) > BLOCK or prefix == self.prefix:
+            if prefix != self.prefix:
+                self.prefix, self.centres = prefix, []
+            for i, s in self.centres:
+                self.pairs += [(i, x) for x in ids[agreement(s, sig) >= self.likely] if x != i]
+            self.pairs += centre_pairs(ids, sig, self.likely, self.centres)
+            for order in COLUMN_ORDERS[prefix[0]]:
+                self.split(ids, sig, order)
+
+    def block(self, ids: np.ndarray, sig: np.ndarray) -> None:
+        block = f"{self.name}-{self.blocks}"
+        self.blocks += 1
+        self.rows += [("block", block, int(i), b"", s.tobytes()) for i, s in zip(ids, sig, strict=True)]
+
+    def split(self, ids: np.ndarray, sig: np.ndarray, order: np.ndarray) -> None:
+        """Rows by their minima in another order, until BLOCK rows or fewer share them; round two compares those."""
+        if len(ids) <= SMALL:
+            self.pairs += all_pairs(ids, sig, self.likely)
+        elif len(ids) <= BLOCK:
+            self.block(ids, sig)
+        elif len(order):
+            by = np.argsort(sig[:, order[0]], kind="stable")
+            for at in np.split(by, 1 + np.flatnonzero(np.diff(sig[by, order[0]]))):
+                self.split(ids[at], sig[at], order[1:])
+        else:  # as good as equal: the centres of the region have met them
+            for a in range(0, len(ids), BLOCK):
+                self.block(ids[a : a + BLOCK], sig[a : a + BLOCK])
 
     def region(self, keys: list[bytes], ids: np.ndarray, sig: np.ndarray, depth: int = LEAST) -> None:
         if len(ids) < 2:
@@ -148,9 +190,7 @@ class Regions:
             self.pairs += all_pairs(ids, sig, self.likely)
         elif len(ids) <= BLOCK:
             self.pairs += centre_pairs(ids, sig, self.likely)
-            block = f"{self.name}-{self.blocks}"
-            self.blocks += 1
-            self.rows += [("block", block, int(i), b"", s.tobytes()) for i, s in zip(ids, sig, strict=True)]
+            self.block(ids, sig)
         elif depth < DEPTH:
             cut = 1 + 2 * (depth + 1)
             starts = [0, *(i for i in range(1, len(keys)) if keys[i][:cut] != keys[i - 1][:cut]), len(keys)]
@@ -184,7 +224,7 @@ def sorted_regions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         nonlocal first, keys, ids, sig
         starts = [0, *(i for i in range(1, upto) if keys[i][:prefix] != keys[i - 1][:prefix]), upto]
         for a, b in zip(starts, starts[1:], strict=False):
-            regions.region(keys[a:b], ids[a:b], sig[a:b])
+            regions.take(keys[a:b], ids[a:b], sig[a:b])
         if first and upto:
             regions.edge("head", keys[: min(starts[1], BLOCK)], ids[: min(starts[1], BLOCK)], sig[: min(starts[1], BLOCK)])
             first = False
@@ -223,7 +263,7 @@ def stitched(pdf: pd.DataFrame) -> pd.DataFrame:
     ids, sig = pdf["a"].to_numpy(np.int64), np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), -1)
     starts = [0, *(i for i in range(1, len(keys)) if keys[i][:prefix] != keys[i - 1][:prefix]), len(keys)]
     for a, b in zip(starts, starts[1:], strict=False):
-        regions.region(keys[a:b], ids[a:b], sig[a:b])
+        regions.take(keys[a:b], ids[a:b], sig[a:b])
     return as_frame(regions.pairs, regions.rows, int(pdf["part"].iloc[0]))
 
 

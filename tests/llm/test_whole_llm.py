@@ -1,7 +1,11 @@
 """Operators on groups beyond the size that one task takes."""
 
+from collections import defaultdict
+
+import numpy as np
 import pytest
 
+from parlance.llm import op01_minhash_forest as op1
 from parlance.llm import op10_html_extraction as op10
 
 
@@ -25,3 +29,49 @@ def test_a_rare_notice_of_a_large_host_is_boilerplate(spark, broadcast):
     assert got == want
     assert got[300] == words("own300x", 20)  # on 5 of 1,500 pages
     assert got[2000].startswith(notice)  # two pages of another host
+
+
+def passage_sharers(n, share, links, seed):
+    """Sets of 100 that share a passage; the first ``links`` pairs of rows have a similarity of 0.8 or a little more."""
+    r = np.random.default_rng(seed)
+    draw = lambda k: r.integers(0, 2**63, k, dtype=np.uint64)
+    passage, out = draw(share), []
+    for _ in range(links):
+        own = draw(100 - share)
+        out += [np.unique(np.r_[passage, own]), np.unique(np.r_[passage, own[: 89 - share], draw(11)])]
+    return out + [np.unique(np.r_[passage, draw(100 - share)]) for _ in range(n - len(out))]
+
+
+def links_out_of_reach(sets, links, step):
+    """Links that share no candidate and no block, with regions handled by ``step``."""
+    low = np.array([op1.minima(x) for x in sets])
+    sig, near, blocks = low.astype(np.uint8), set(), defaultdict(set)
+    for tree in range(op1.TREES):
+        cut = low[:, tree * op1.DEPTH : (tree + 1) * op1.DEPTH].astype(">u2")
+        keys = [bytes([tree]) + x.tobytes() for x in cut]
+        groups = defaultdict(list)
+        for i in sorted(range(len(sets)), key=keys.__getitem__):
+            groups[keys[i][: 1 + 2 * op1.LEAST]].append(i)
+        regions = op1.Regions(f"t{tree}")
+        for at in groups.values():
+            getattr(regions, step)([keys[i] for i in at], np.array(at), sig[at])
+        near |= {frozenset(map(int, p)) for p in regions.pairs}
+        for _, block, i, *_ in regions.rows:
+            blocks[i].add(block)
+    return [k for k in range(links) if frozenset((2 * k, 2 * k + 1)) not in near and not blocks[2 * k] & blocks[2 * k + 1]]
+
+
+def test_links_inside_a_region_beyond_a_block(monkeypatch):
+    monkeypatch.setattr(op1, "BLOCK", 64)
+    sets = passage_sharers(3000, 80, 400, 1)
+    for k in range(400):
+        a, b = sets[2 * k], sets[2 * k + 1]
+        assert 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b))
+    assert len(links_out_of_reach(sets, 400, "region")) > 0  # the split by prefix alone
+    assert links_out_of_reach(sets, 400, "take") == []
+
+
+def test_few_links_are_lost_where_all_rows_nearly_match(monkeypatch):
+    monkeypatch.setattr(op1, "BLOCK", 64)
+    sets = passage_sharers(3000, 85, 400, 1)  # any two rows have a similarity of 0.74
+    assert 5 * len(links_out_of_reach(sets, 400, "take")) < len(links_out_of_reach(sets, 400, "region"))
