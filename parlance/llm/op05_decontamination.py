@@ -1,23 +1,24 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, native.
 
-Words are lower-cased runs of letters and digits; a text's set is its distinct 5-word shingles (the
-whole sequence as one if it has fewer words). Document ``d`` leaks item ``i`` if at least 80 % of
-the item's shingles occur in ``d``.
-
-*Search.* Items are partitioned by size (powers of two of their shingle count). An item's sketch
-is its ``k`` smallest shingle hashes (a bottom-k MinHash) with ``k = n - ceil(0.8 n) + 1`` for its own
-``n``: of any ``k`` shingles at least one occurs in each document that has 80 % of them, so the search
-loses nothing. A partition's threshold is the largest hash in its sketches, and a document's
-sketch holds its shingle hashes up to the largest threshold (a scaled MinHash that grows with the
-document, so that a short item is found inside a document of any length).
-*Verification.* Candidate pairs are confirmed on full sets: the distinct item shingles, as texts, that the
-document contains, counted against 80 % of the item's.
-
-Sketches and items are broadcast only up to ``broadcast_rows`` shingles; beyond that both joins are
-shuffled and salted by document, so one passage in a third of all documents is spread.
-
-Defined results: null or wordless texts, on either side, leak nothing; an item that occurs twice is reported
-under each of its ids; repeated document rows give one pair; empty tables give an empty result; further columns
+Words are lower-cased runs of letters and digits; an item's set is its distinct 5-word shingles, or, with fewer words, all of its words
+as one shingle of its own width. A document is read in shingles of each width that items have. Document ``d`` leaks item ``i`` if at
+least 80 % of the item's shingles occur in ``d``.
+
+*Search.* Items are partitioned by size (powers of two of their shingle count) and width. An item's sketch is its ``k`` smallest
+shingle hashes (a bottom-k MinHash) with ``k = n - ceil(0.8 n) + 1`` for its own ``n``: of any ``k`` shingles at least one occurs
+in each document that has 80 % of them, so the search loses nothing. A partition's threshold is the largest hash in its sketches. A document
+is looked up only in partitions whose smallest item it is large enough to contain, and of its shingle hashes only those within the
+threshold of such a partition (a scaled MinHash that grows with the document, so that a short item is found inside a document of any
+length); hash and width are the join key.
+*Verification.* Candidate pairs are confirmed on full sets: the distinct item shingles, as texts, that the document contains, counted
+against 80 % of the item's. The texts of candidates alone are read again and meet their pairs in a shuffle.
+
+Sketches and items are broadcast only up to ``broadcast_rows`` shingles, the ids of candidates up to ``broadcast_ids``; beyond that the
+joins are shuffled, those with items salted by document, so one passage in a third of all documents is spread.
+
+Defined results: null or wordless texts, on either side, leak nothing; an item that occurs twice is reported under each of its ids;
+repeated document rows give one pair, rows of one doc_id with different texts the pair that contains most; a null doc_id or item_id gives
+no pair (the stage goes by text, so it also drops leaking documents without an id); empty tables give an empty result; further columns
 don't matter.
 """
 
@@ -32,67 +33,86 @@ NAME = "op5_decontamination"
 WIDTH, PERCENT = 5, 80
 
 
-def shingles(text: str = "text", width: int = WIDTH, hashed: bool = False) -> Column:
-    """Array of the shingles of a text column, in order, as texts or as 64-bit hashes; empty without words."""
-    each = f"slice(_w, i, {width})"
+def word_array(text: str) -> str:
+    return f"filter(split(lower(`{text}`), '[^\\\\p{{L}}\\\\p{{N}}]+'), x -> x <> '')"
+
+
+def grams(width: str, hashed: bool = False) -> str:
+    """SQL for the array of the shingles of ``w`` in order, as texts or as 64-bit hashes; empty where ``w`` is shorter."""
+    each = f"slice(w, i, {width})"
     each = f"xxhash64({each})" if hashed else f"array_join({each}, ' ')"
     kind = "bigint" if hashed else "string"
-    return F.expr(
-        f"transform(array(filter(split(lower(`{text}`), '[^\\\\p{{L}}\\\\p{{N}}]+'), x -> x <> '')), _w -> "
-        f"CASE WHEN size(_w) > 0 THEN transform(sequence(1, greatest(1, size(_w) - {width - 1})), i -> {each}) "
-        f"ELSE cast(array() AS array<{kind}>) END)[0]"
-    )
+    return f"CASE WHEN size(w) >= {width} THEN transform(sequence(1, size(w) - {width} + 1), i -> {each}) ELSE cast(array() AS array<{kind}>) END"
+
+
+def with_words(df: DataFrame, key: str) -> DataFrame:
+    """(key, w) of rows with a key and words; the words are made once, not again for each expression that reads them."""
+    rows = df.select(key, F.explode(F.expr(f"array({word_array('text')})")).alias("w"))
+    return rows.where(F.col(key).isNotNull() & (F.size("w") > 0))
+
+
+def item_sets(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(item_id, width, n, size_class, hashes, item): distinct shingles of each item with words."""
+    rows = with_words(benchmark.dropDuplicates(["item_id"]), "item_id").withColumn("width", F.least(F.lit(width), F.size("w")))
+    rows = rows.select("item_id", "width", F.expr(f"array_distinct({grams('width')})").alias("item"), F.expr(f"array_sort(array_distinct({grams('width', True)}))").alias("hashes"))
+    n = F.size("item").cast("long")
+    return rows.select("item_id", "width", n.alias("n"), F.floor(F.log2(n.cast("double"))).cast("int").alias("size_class"), "hashes", "item")
 
 
 def sketches(items: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(item_id, n, size_class, _h): the bottom-k hashes of each item; k leaves no miss."""
-    n = F.size("_hashes")
-    k = n - F.expr(f"cast(ceil({percent} * size(_hashes) / 100) AS int)") + 1
-    return items.select(
-        "item_id",
-        n.cast("long").alias("n"),
-        F.floor(F.log2(n.cast("double"))).cast("int").alias("size_class"),
-        F.explode(F.slice(F.sort_array("_hashes"), F.lit(1), k)).alias("_h"),
-    )
+    """(item_id, n, width, size_class, h): the bottom-k hashes of each item; k leaves no miss."""
+    size = F.size("hashes")
+    k = size - F.expr(f"cast(ceil({percent} * size(hashes) / 100) AS int)") + 1
+    return items.select("item_id", "n", "width", "size_class", F.explode(F.slice("hashes", F.lit(1), k)).alias("h"))
 
 
-def candidates(docs: DataFrame, items: DataFrame, percent: int = PERCENT, broadcast_rows: int = 200_000, salts: int = 32) -> DataFrame:
-    """Distinct (doc_id, item_id) whose sketches meet; ``docs`` and ``items`` have an array ``_hashes``."""
+def candidates(docs: DataFrame, items: DataFrame, key: str, percent: int = PERCENT, broadcast_rows: int = 200_000, salts: int = 32) -> DataFrame:
+    """Distinct (key, item_id) whose sketches meet; ``docs`` has key and words ``w``, ``items`` comes from :func:`item_sets`."""
     sketch = sketches(items, percent)
-    bounds = sketch.groupBy("size_class").agg(F.max("_h").alias("top"), F.count("*").alias("rows")).collect()  # a row per power of two
-    if not bounds:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long")
-    top = max(b["top"] for b in bounds)
-    rows = docs.select("doc_id", F.explode("_hashes").alias("_h")).where(F.col("_h") <= F.lit(top))
-    sketch = sketch.select("item_id", "_h")
-    if sum(b["rows"] for b in bounds) <= broadcast_rows:
-        met = rows.join(F.broadcast(sketch), "_h")
+    # a row for each power of two and width: 64 x 5 at most
+    parts = sketch.groupBy("width", "size_class").agg(F.max("h").alias("top"), F.min("n").alias("least"), F.count("*").alias("rows")).orderBy("width", "size_class").collect()
+    if not parts:
+        return docs.select(key, F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id")).limit(0)
+    each = []
+    for width in sorted({p["width"] for p in parts}):
+        own = [p for p in parts if p["width"] == width]
+        # the largest threshold of the partitions whose items the document can contain: a hash is sent once for all of them
+        top = "greatest(" + ", ".join(f"IF(100 * size(w) >= {percent} * {p['least']}, {p['top']}L, NULL)" for p in own) + f", {-(2**63) + 1}L)"
+        each.append(f"transform(filter({grams(str(width), True)}, h -> h <= {top}), h -> struct({width} AS width, h))")
+    rows = docs.select(key, F.size("w").alias("n_words"), F.explode(F.expr(f"array_distinct({each[0] if len(each) == 1 else 'concat(' + ', '.join(each) + ')'})")).alias("g"))
+    rows = rows.select(key, "n_words", "g.width", "g.h")
+    sketch = sketch.select("item_id", "n", "width", "h")
+    if sum(p["rows"] for p in parts) <= broadcast_rows:
+        met = rows.join(F.broadcast(sketch), ["width", "h"])
     else:
-        sketch = sketch.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        met = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).join(sketch, ["_h", "_salt"])
-    return met.select("doc_id", "item_id").distinct()
+        sketch = sketch.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        met = rows.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")).join(sketch, ["width", "h", "salt"])
+    return met.where(100 * F.col("n_words") >= percent * F.col("n")).select(key, "item_id").distinct()
 
 
 def leaks(
-    docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, broadcast_rows: int = 200_000, width: int = WIDTH
+    docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, broadcast_rows: int = 200_000, width: int = WIDTH, key: str = "doc_id", broadcast_ids: int = 1_000_000, salts: int = 32
 ) -> DataFrame:
-    """Pairs (doc_id, item_id, n_item, n_found, containment) with containment of at least ``percent``."""
-    docs = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
-    items = benchmark.where(F.col("item_id").isNotNull()).select("item_id", "text").dropDuplicates(["item_id"])
-    hashed = items.select("item_id", F.array_distinct(shingles(width=width, hashed=True)).alias("_hashes")).where(F.size("_hashes") > 0)
-    # Written, so that its size is known before the documents are read again: usually it is broadcast then.
-    pairs = written(candidates(docs.select("doc_id", shingles(width=width, hashed=True).alias("_hashes")), hashed, percent, broadcast_rows), "op5")
-    wanted = items.select("item_id", F.array_distinct(shingles(width=width)).alias("_item"))
-    found = pairs.join(wanted, "item_id").join(docs, "doc_id")
+    """Pairs (key, item_id, n_item, n_found, containment) with containment of at least ``percent``."""
+    docs, items = docs.select(key, "text"), written(item_sets(benchmark.select("item_id", "text"), width), "op5-items")
+    # written, so that its size is known before the documents are read again
+    pairs = written(candidates(with_words(docs, key), items, key, percent, broadcast_rows, salts), "op5-pairs")
+    ids = written(pairs.select(key).distinct(), "op5-ids")
+    few = ids.limit(broadcast_ids + 1).count() <= broadcast_ids
+    texts = written(docs.join(F.broadcast(ids) if few else ids.hint("merge"), key, "left_semi"), "op5-texts")
+    found = pairs.join(with_words(texts, key).hint("merge"), key)
+    wanted = items.select("item_id", "width", "n", "item")
+    if (items.agg(F.sum("n").alias("n")).first()["n"] or 0) <= broadcast_rows:
+        found = found.join(F.broadcast(wanted), "item_id")
+    else:
+        wanted = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        found = found.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")).join(wanted, ["item_id", "salt"])
+    held = F.expr(f"size(array_intersect(item, {grams('width')}))").cast("long")
     return (
-        found.select(
-            "doc_id",
-            "item_id",
-            F.size("_item").cast("long").alias("n_item"),
-            F.size(F.array_intersect("_item", shingles(width=width))).cast("long").alias("n_found"),
-        )
+        found.select(key, "item_id", F.col("n").alias("n_item"), held.alias("n_found"))
         .where(100 * F.col("n_found") >= percent * F.col("n_item"))
-        .dropDuplicates(["doc_id", "item_id"])
+        .groupBy(key, "item_id")
+        .agg(F.first("n_item").alias("n_item"), F.max("n_found").alias("n_found"))
         .withColumn("containment", F.col("n_found") / F.col("n_item"))
     )
 
@@ -102,24 +122,28 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that leak no benchmark item."""
-    found = leaks(docs, load(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """Pipeline stage: documents that leak no benchmark item. Goes by the text's digest, so equal texts are searched once and a document
+    without an id is judged too."""
+    keyed = docs.select(F.md5(F.encode("text", "UTF-8")).alias("__digest"), "text").dropDuplicates(["__digest"])
+    found = leaks(keyed, load(spark, sf_dir, "benchmark"), key="__digest").select("__digest").distinct()
+    return docs.withColumn("__digest", F.md5(F.encode("text", "UTF-8"))).join(found, "__digest", "left_anti").select(*docs.columns)
 
 
 def leaks_sql(docs: str, benchmark: str = "benchmark") -> str:
     def words(table: str, key: str) -> str:
         return rf"SELECT {key}, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM {table} WHERE {key} IS NOT NULL"
 
-    def shingles(table: str, key: str) -> str:
-        return f"""SELECT DISTINCT {key}, array_to_string(w[i : i + {WIDTH - 1}], ' ') AS s
-      FROM (SELECT {key}, w, unnest(range(1, greatest(1, len(w) - {WIDTH - 1}) + 1)) AS i FROM ({words(table, key)}) WHERE len(w) > 0)"""
+    def shingles(rows: str, key: str) -> str:
+        return f"""SELECT DISTINCT {key}, width, array_to_string(w[i : i + width - 1], ' ') AS s
+      FROM (SELECT {key}, width, w, unnest(range(1, len(w) - width + 2)) AS i FROM ({rows}) WHERE len(w) >= width)"""
 
+    items = f"SELECT item_id, w, least({WIDTH}, len(w)) AS width FROM ({words(benchmark, 'item_id')}) WHERE len(w) > 0"
+    rows = f"SELECT doc_id, w, width FROM ({words(docs, 'doc_id')}), (SELECT DISTINCT width FROM ({items}))"
     return f"""
 SELECT doc_id, item_id, n_item, n_found, n_found / n_item AS containment FROM (
   SELECT doc_id, item_id, any_value(n_item) AS n_item, count(*) AS n_found
-  FROM ({shingles(docs, "doc_id")}) JOIN (
-    SELECT item_id, s, count(*) OVER (PARTITION BY item_id) AS n_item FROM ({shingles(benchmark, "item_id")})) USING (s)
+  FROM ({shingles(rows, "doc_id")}) JOIN (
+    SELECT item_id, width, s, count(*) OVER (PARTITION BY item_id) AS n_item FROM ({shingles(items, "item_id")})) USING (width, s)
   GROUP BY doc_id, item_id)
 WHERE 100 * n_found >= {PERCENT} * n_item"""
 

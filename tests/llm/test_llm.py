@@ -168,15 +168,53 @@ def test_shards(spark):
         op3.assign(df, weights=[1.0, 0.0])
 
 
-@pytest.mark.parametrize("broadcast", [100, 0])
-def test_url_rules(spark, broadcast):
-    urls = ["http://A.net/x", "http://net", "http://b.example.net/en/1?q", "http://example.net/en", "x://c.org/fr/", "http://d.org/de/", "ftp://example.com/de/a/b#c", "no scheme", "", None, "http://notexample.com/de/", "http://x.example.net?en/"]
-    df = clashing(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"))
-    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in op4.judge_urls(df, op4.rule_table(spark), broadcast_rules=broadcast).collect()}
-    assert got[0] == ("a.net", "/x", "net/", "block") and got[1] == ("net", "", None, "allow")
-    assert got[2][2:] == ("example.net/en/", "allow") and got[3][2:] == ("net/", "block")
-    assert got[4][2:] == ("org/fr/", "allow") and got[5][2:] == (None, "allow") and got[6] == ("example.com", "/de/a/b", "example.com/de/", "block")
-    assert all(got[k] == ("", "", None, "allow") for k in (7, 8, 9)) and got[10][2] is None and got[11] == ("x.example.net", "", None, "allow")
+def brute_rule(url, rules):
+    """Host, path, rule and verdict of an URL, read plainly."""
+    host = path = ""
+    if url and "://" in url:
+        rest = url.split("://", 1)[1]
+        host = re.match(r"[^/?#]*", rest)[0]
+        path = re.match(r"[^?#]*", rest[len(host) :])[0]
+        host = host.translate({c: c + 32 for c in range(65, 91)})
+    fits = [(len(h + p), v == "block", h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return (host, path, *(max(fits)[2:] if fits else (None, "allow")))
+
+
+URLS = ["http://A.net/x", "http://net", "http://b.example.net/en/1?q", "http://example.net/en", "x://c.org/fr/", "http://d.org/de/", "ftp://example.com/de/a/b#c", "no scheme", "", None, "http://notexample.com/de/", "http://x.example.net?en/", "://net/", "h://", "h://example.net//en/", "h://.org/fr/\n", "h://www.EXAMPLE.com/de/x/../y"]
+PATHS = {"by depth": {}, "rules in a broadcast": {"most_depths": 0}, "rules shuffled": {"broadcast_rules": 0}}
+
+
+@pytest.mark.parametrize("how", PATHS)
+def test_url_rules(spark, how):
+    rules = [*op4.RULES, ("block", "b.example.net", "/en/1"), ("allow", "org", "/fr/"), ("block", "x.y.z", "")]
+    df = clashing(spark.createDataFrame(list(enumerate(URLS)), "page_id long, url string"))
+    for c in ("_url_row", "_short", "row", "won", "full0", "short", "salt", "digest"):
+        df = df.withColumn(c, F.lit("mine"))
+    out = op4.judge_urls(df, op4.rule_table(spark, rules), **PATHS[how])
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in out.collect()}
+    assert got == {i: brute_rule(u, rules) for i, u in enumerate(URLS)}
+    assert {r["row"] for r in out.collect()} == {"mine"} and set(out.columns) == set(df.columns)
+    assert op4.judge_urls(df.limit(0), op4.rule_table(spark), **PATHS[how]).count() == 0
+    assert {r["verdict"] for r in op4.judge_urls(df, op4.file_rules(op4.rule_table(spark).select("verdict", "rule_host", "rule_path").limit(0)), **PATHS[how]).collect()} == {"allow"}
+
+
+@pytest.mark.parametrize("how", PATHS)
+def test_url_verdicts_do_not_depend_on_where_rows_are(spark, how):
+    r = random.Random(5)
+    urls = [f"http://{r.choice(['a.', '', 'b.c.'])}example.{r.choice(['net', 'com', 'org'])}/{r.choice(['en/', 'de/', 'fr/', ''])}{r.randint(0, 9)}" for _ in range(3000)] + ["http://a.example.net/hot"] * 1500
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    want = [(i, *brute_rule(u, op4.RULES)[2:]) for i, u in enumerate(urls)]
+    for moved in (df.repartition(7), df.repartition(5, "url"), df.dropDuplicates(["page_id"]), df.orderBy(F.rand(3)), df.unionByName(df).distinct()):
+        got = op4.judge_urls(moved, op4.rule_table(spark), **PATHS[how]).select("page_id", "rule", "verdict").collect()
+        assert sorted(map(tuple, got)) == want
+
+
+@pytest.mark.parametrize("how", PATHS)
+def test_urls_of_a_million_characters(spark, how):
+    urls = ["http://" + "a." * 500_000 + "net/x", "http://example.net/en" + "/" * 1_000_000, "http://" + "." * 1_000_000 + "org/fr/" + "?" * 1000, "h" * 1_000_000, "http://example.org/" + "fr/" * 300_000]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    out = op4.judge_urls(df, op4.rule_table(spark), **PATHS[how]).select("page_id", "rule", F.length("host").alias("h"), F.length("path").alias("p")).collect()
+    assert [(r["rule"], r["h"], r["p"]) for r in sorted(out)] == [("net/", 1_000_003, 2), ("example.net/en/", 11, 1_000_003), ("org/fr/", 1_000_003, 4), (None, 0, 0), ("org/fr/", 11, 900_001)]
 
 
 def test_rules_need_not_end_in_a_slash(spark):
@@ -203,14 +241,40 @@ def test_leaks_match_brute_force(spark, broadcast):
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {(x["doc_id"], x["item_id"]) for x in op5.leaks(docs(spark, texts + AWKWARD[:3]), bench, broadcast_rows=broadcast).collect()}
 
-    def sets(t):
-        w = re.findall(r"[^\W_]+", (t or "").lower())
-        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
-
-    want = {(d, i) for d, t in texts for i, q in items if sets(q) and 100 * len(sets(t) & sets(q)) >= 80 * len(sets(q))}
+    want = brute_leaks(texts, items)
     assert got == want and want
 
 
+def brute_leaks(texts, items):
+    """Items of which 80 % of the shingles, of five words or of all the item's words if it has fewer, occur in a text."""
+
+    def words(t):
+        return re.findall(r"[^\W_]+", (t or "").lower())
+
+    def sets(w, width):
+        return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)}
+
+    out = set()
+    for i, q in items:
+        if words(q):
+            width = min(5, len(words(q)))
+            wanted = sets(words(q), width)
+            out |= {(d, i) for d, t in texts if 100 * len(sets(words(t), width) & wanted) >= 80 * len(wanted)}
+    return out
+
+
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_items_of_any_size_are_found(spark, broadcast):
+    items = [(1, "red green blue"), (2, "Solo"), (3, "one two"), (4, "a b c d"), (5, "a b c d e"), (6, " ".join(f"long{i}" for i in range(300))), (7, "a b c d e f")]
+    texts = [(1, "x " * 50 + "Red, green: BLUE " + "y " * 50), (2, "red green"), (3, "so solo."), (4, "two one two"), (5, "z a b c d e z"), (6, "q " * 3000 + items[5][1] + " q" * 3000), (7, None), (8, ""), (9, "red green x blue")]
+    texts += [(10, items[5][1].replace("long7 ", "other ")), (11, " ".join(f"long{i}" for i in range(230)))]
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in texts] + [(1, None, "x", 1), (1, "blue", "x", 1), (None, "solo", "x", 1)], "doc_id long, text string, w string, item int")
+    out = op5.leaks(df, spark.createDataFrame(items, "item_id long, text string"), broadcast_rows=broadcast, broadcast_ids=broadcast)
+    assert {(x["doc_id"], x["item_id"]) for x in out.collect()} == brute_leaks(texts, items) >= {(1, 1), (3, 2), (4, 3), (6, 6), (10, 6)}
+    assert op5.leaks(df.limit(0), spark.createDataFrame(items, "item_id long, text string")).count() == 0
+    assert op5.leaks(df, spark.createDataFrame([], "item_id long, text string")).count() == 0
+
+
 def whole_ids(texts, end):
     import public_tokenizers
     from tokenizers import Tokenizer
