@@ -372,12 +372,63 @@ def test_language_held_out(spark):
 
 
 def test_language_on_awkward_rows(spark):
-    train = spark.createDataFrame([("the cat and the dog", "en"), ("der hund und die katze", "de"), ("x", None), (None, "fr")], "text string, lang string")
+    train = spark.createDataFrame([("the cat and the dog", "en"), ("der hund und die katze", "de"), ("кот и собака", "ru"), ("x", None), (None, "fr"), ("12", "es")], "text string, lang string")
     profiles = op9.learn(train)
-    out = {(r["doc_id"], r["text"]): (r["lang_pred"], r["score"]) for r in op9.identify(clashing(docs(spark, AWKWARD + [(20, "und der"), (21, "123 !?")])), profiles).collect()}
+    assert profiles.languages == ["de", "en", "ru"]
+    rows_ = AWKWARD + [(20, "und der"), (21, "123 !?"), (22, "собака"), (23, "und der"), (23, "und der"), (24, "the dog " * 100_000)]
+    df = clashing(docs(spark, rows_)).withColumn("row", F.lit("mine")).withColumn("p", F.lit("mine"))
+    got = op9.identify(df, profiles).collect()
+    out = {(r["doc_id"], r["text"]): (r["lang_pred"], r["score"]) for r in got}
+    assert len(got) == len(rows_) and {r["row"] for r in got} == {r["p"] for r in got} == {"mine"}
     assert out[(1, None)] == out[(2, "")] == out[(21, "123 !?")] == ("und", 0.0) and out[(20, "und der")][0] == "de"
+    assert out[(22, "собака")][0] == "ru" and out[(20, "und der")] == out[(23, "und der")] and out[(24, "the dog " * 100_000)][0] == "en"
     nothing = op9.identify(docs(spark, [(1, "abc")]), op9.learn(train.limit(0))).first()
     assert (nothing["lang_pred"], nothing["score"]) == ("und", 0.0)
+    assert op9.identify(df.limit(0), profiles).count() == 0
+
+
+def test_bundles_match_brute_force(spark):
+    """Binding, bundling and cosines, letter by letter; n-grams that training never saw count too."""
+    train = [("the cat and the dog", "en"), ("der hund und die katze", "de"), ("one more", "en")]
+    tests = ["a dog", "Ein Hund!", "zzqx ñandú", "кот", "the\n\n cat", "q"]
+    letters = op9.Space().placed[op9.N - 1]
+
+    def vector(text):
+        words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+        flat, total = " " + " ".join(words) + " ", np.zeros(op9.DIMENSIONS)
+        for i in range(len(flat) - 2):
+            bound = np.ones(op9.DIMENSIONS)
+            for place in range(3):
+                c = flat[i + place]
+                bound = bound * np.roll(letters[op9.letter_code(ord(c)) if c != " " else 0], 2 - place)
+            total += bound
+        return total
+
+    protos = {la: sum(vector(t) for t, x in train if x == la) for la in ("de", "en")}
+    cosine = lambda a, b: a @ b / np.linalg.norm(a) / np.linalg.norm(b)
+    profiles = op9.learn(spark.createDataFrame(train, "text string, lang string").repartition(3))
+    for r in op9.identify(spark.createDataFrame([(t,) for t in tests], "text string"), profiles).collect():
+        near = {la: cosine(vector(r["text"]), p) for la, p in protos.items()}
+        assert r["lang_pred"] == max(near, key=near.get) and abs(r["cosine"] - max(near.values())) < 1e-4
+        assert abs(r["score"] - 1 / (1 + np.exp(-op9.SHARPNESS * abs(near["en"] - near["de"])))) < 1e-3
+
+
+def test_a_rare_language_is_learnt_from_all_of_its_texts(spark):
+    df = spark.range(4000).selectExpr("id AS doc_id", "concat('text ', id) AS text", "IF(id % 400 = 1, 'xx', IF(id % 7 = 0, NULL, 'en')) AS lang")
+    allowed = df.where(~op9.held_out() & F.col("lang").isNotNull())
+    got = {r["lang"]: r["count"] for r in op9.training_rows(df, per_language=300).groupBy("lang").count().collect()}
+    assert got["xx"] == allowed.where("lang = 'xx'").count() and 200 < got["en"] < 400
+    assert [r["lang"] for r in op9.training_rows(df, languages=1).select("lang").distinct().collect()] == ["en"]
+
+
+def test_the_language_stage_rejects(spark):
+    en, de = "the cat and the dog walk over the street and back to the house ", "der hund und die katze gehen über die strasse und zurück zum haus "
+    rows_ = [(i, (en if i % 2 else de) * 5 + str(i), "en" if i % 2 else "de", "s", 1) for i in range(40)]
+    rows_ += [(100, en * 5, "de", "s", 1), (101, en * 5, None, "s", 1), (102, "1 2 3 " * 50, "en", "s", 1), (103, None, None, "s", 1), (104, "qzx wvk jjq xkcd " * 20, None, "s", 1)]
+    df = spark.createDataFrame(rows_, FULL).withColumn("lang_pred", F.lit("mine")).withColumn("stated", F.lit("mine"))
+    out = op9.stage(spark, df, "")
+    assert out.columns == df.columns and {r["doc_id"] for r in out.collect()} == {*range(40), 101}
+    assert op9.stage(spark, df.limit(0), "").count() == 0
 
 
 PAGE = """<html><head><title>t</title><script>var a="</p>";</script></head><body><header>Site</header><nav><ul><li><a>Menu</a></li></ul></nav>
@@ -436,7 +487,9 @@ def test_pipeline_keeps_clean_documents(spark):
     kept = steps["quality rules"](spark, left, DATA)
     assert {r["doc_id"] for r in kept.collect()} == {x[0] for x in con.sql(f"SELECT doc_id FROM ({op2.ORACLE}) WHERE kept").fetchall()}
     spoken = steps["language ID"](spark, kept, DATA)
-    assert spoken.columns == left.columns and spoken.count() == kept.count()
+    judged = op9.identify(kept.select("doc_id", "text", F.col("lang").alias("stated")), op9.learn(op9.training_rows(kept))).toPandas()
+    fine = judged[(judged["lang_pred"] != "und") & (judged["cosine"] >= 0.25) & (judged["stated"].isna() | (judged["stated"] == judged["lang_pred"]))]
+    assert spoken.columns == left.columns and {r["doc_id"] for r in spoken.collect()} == set(fine["doc_id"]) and len(fine) >= 0.98 * len(judged)
     one = steps["MinHash near-dedup"](spark, spoken, DATA)
     pairs = [(r["doc_id"], r["text"]) for r in spoken.collect()]
     assert {r["doc_id"] for r in one.collect()} == {c for _, _, c in brute_components(pairs, 5)}
