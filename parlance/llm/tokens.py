@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import os
 
-CACHE_WORDS = 500_000
+CACHE_WORDS = 350_000
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
 #: What the tokenizer's own pre-tokenizer matches, on lower-cased Latin-1.
 LETTERS = "a-zªµºß-öø-ÿ"
@@ -47,6 +47,7 @@ class Encoder:
         self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
         self.cache: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.words: dict[str, bytes] = {}
         self.cache_words = cache_words
         self.fast = (path is None or path.endswith(DEFAULT_TOKENIZER)) and self._agrees()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -81,18 +82,28 @@ class Encoder:
         return [b"".join(got) for got in found]
 
     def _each(self, chunks: list[bytes]) -> list[bytes]:
-        """Ids of each chunk, from one text of all their words; the last id of each word is one that ends words."""
-        import numpy as np
-
+        """Ids of each chunk, from those of its words, which differ less than chunks do."""
         words = [self.find(w.decode("latin-1")) for w in chunks]
-        text = " ".join([w for ws in words for w in ws])
-        ids = np.asarray(self.cutter.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.r_[0, np.flatnonzero(self.ends[ids]) + 1]
-        upto = np.cumsum([len(ws) for ws in words])
-        if len(ends) != upto[-1] + 1 or ends[-1] != len(ids):
+        known = self.words
+        new = list({w for ws in words for w in ws}.difference(known))
+        if len(known) + len(new) > self.cache_words:
+            known.clear()
+            new = list({w for ws in words for w in ws})
+        if new and not self._learn(new):
             return self._whole([w.decode("latin-1") for w in chunks])
-        raw, at = ids.tobytes(), [0, *(4 * ends[upto]).tolist()]
-        return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
+        return [b"".join([known[w] for w in ws]) for ws in words]
+
+    def _learn(self, new: list[str]) -> bool:
+        """Keeps the ids of words, from one text of all of them: the last id of each is one that ends words. False if they can't be told apart."""
+        import numpy as np
+
+        ids = np.asarray(self.cutter.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(new) or ends[-1] != len(ids):
+            return False
+        raw, at = ids.tobytes(), [0, *(4 * ends).tolist()]
+        self.words.update(zip(new, [raw[a:b] for a, b in zip(at, at[1:], strict=False)], strict=True))
+        return True
 
     def simple(self, text: str) -> bytes | None:
         """The text lower-cased in Latin-1, if it can be and holds no special token."""
