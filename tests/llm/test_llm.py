@@ -313,6 +313,19 @@ def test_packing_cuts_every_id_once(spark):
     assert op6.pack(docs(spark, [])).count() == 0
 
 
+def test_open_pieces_are_merged_in_a_tree(spark, monkeypatch):
+    """Many tasks and small groups: several levels, every id once, little padding."""
+    monkeypatch.setattr(op6, "GROUP_ROWS", 8)
+    r = random.Random(3)
+    rows_ = [(i, " ".join(r.choices(["alpha", "beta", "zzqq"], k=r.choice([20, 70, 90, 400, 700])))) for i in range(600)]
+    out = op6.pack(docs(spark, rows_).repartition(40)).toPandas()
+    assert (out.groupby("doc_id")["length"].sum() == out.groupby("doc_id")["doc_tokens"].first()).all() and out["doc_id"].nunique() == 600
+    for _, ps in out.groupby("sequence_id"):
+        ps = ps.sort_values("offset")
+        assert ps["offset"].tolist() == [0, *ps["length"].cumsum()[:-1]] and ps["length"].sum() <= 2048
+    assert out["length"].sum() > 0.95 * 2048 * (out["sequence_id"].nunique() - 8)
+
+
 def test_pieces_are_harmonic():
     for n in range(1, 6000, 7):
         ps = op6.pieces(n)
