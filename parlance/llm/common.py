@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 
@@ -19,10 +20,12 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` when the
-    cluster names one; a fresh temporary folder only where it is unset (local tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset, a fresh temporary folder, but only
+    where driver and executors are one process. On a cluster each executor would write to a disk of its own, so that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.gettempdir() + "/parlance-" + uuid.uuid4().hex)
     return named.rstrip("/")
 

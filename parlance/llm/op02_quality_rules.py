@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, load, words
+from .common import SPACES, load, words, written
 
 NAME = "op2_quality_rules"
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -91,17 +91,19 @@ def measures(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def estimate(df: DataFrame, rules=RULES, text: str = "text", sample_rows: int = 200, repeats: int = 25) -> list[Rule]:
-    """Rules ordered by rejection per cost, measured on at most ``sample_rows`` documents.
+    """Rules ordered by rejection per cost, measured on a random sample of at most ``sample_rows`` documents, drawn from all partitions.
 
-    Each rule runs ``repeats`` times over the sample; the time of an empty run is taken off.
+    Drawing it scans the texts once more, without any measure; the sample stays in the shared folder. Each rule runs ``repeats`` times over it; the time of an empty run is taken off.
     Rules that reject nothing in the sample go last, the cheapest first."""
-    spark = df.sparkSession
-    picked = df.select(F.col(text).alias("text")).where(F.col(text).isNotNull()).limit(sample_rows)
-    rows = measures(picked).collect()
-    if not rows:
+    texts = df.select(F.col(text).alias("text")).where(F.col(text).isNotNull())
+    n = max(df.count(), 1)
+    share = min(1.0, 2.0 * sample_rows / n)
+    picked = texts if share == 1.0 else texts.sample(fraction=share, seed=11)
+    sample = written(measures(picked.limit(sample_rows)).coalesce(1), "op2-sample")
+    held = sample.count()
+    if not held:
         return list(rules)
-    sample = spark.createDataFrame(rows, measures(picked).schema).coalesce(1)
-    many = sample.withColumn("_again", F.explode(F.array_repeat(F.lit(1), repeats)))
+    many = sample.coalesce(1).withColumn("_again", F.explode(F.array_repeat(F.lit(1), repeats)))
 
     def run(sql: str) -> tuple[float, int]:
         began = time.perf_counter()
@@ -116,7 +118,7 @@ def estimate(df: DataFrame, rules=RULES, text: str = "text", sample_rows: int =
     for k, rule in enumerate(rules):
         took, hit = run(rule.rejects)
         cost = max(took - floor, 1e-4)
-        ranked.append((-(hit / len(rows)) / cost, cost, k, rule))
+        ranked.append((-(hit / held) / cost, cost, k, rule))
     return [x[-1] for x in sorted(ranked, key=lambda x: x[:3])]
 
 

@@ -1,7 +1,7 @@
 """Token-id files: a shared zstandard dictionary, one frame for each document, and an offset index.
 
 Layout of a folder: ``dictionary-<hash>.zdict`` (trained on the little-endian unsigned 32-bit ids of a bounded sample of
-documents, ``DICTIONARY_DOCS`` at most), ``part-<number>.zids`` for each range of doc_id, and ``manifest.json``.
+documents, ``DICTIONARY_DOCS`` of up to ``DICTIONARY_CHARS`` characters each), ``part-<number>.zids`` for each range of doc_id, and ``manifest.json``.
 A part holds ``PZID0001``, the dictionary's SHA-256 (32 bytes), one zstandard frame for each document in ascending
 doc_id order, then the index (doc_id, offset, frame length, number of ids: four little-endian int64 each), its
 row count (int64) and ``PZIDEND1``. A reader fetches the index and any one frame; it needs no other document.
@@ -29,7 +29,7 @@ from .common import id_in, id_out, load, scratch_path
 from .tokens import encoder
 
 NAME = "op7_token_files"
-END_ID, DICTIONARY_DOCS, DICTIONARY_BYTES, LEVEL, DOCS_PER_PART = 2, 1000, 32 * 1024, 3, 100_000
+END_ID, DICTIONARY_DOCS, DICTIONARY_CHARS, DICTIONARY_BYTES, LEVEL, DOCS_PER_PART = 2, 1000, 20_000, 32 * 1024, 3, 100_000
 HEAD, TAIL = b"PZID0001", b"PZIDEND1"
 SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -42,12 +42,14 @@ def file_system(uri: str):
 
 
 def train_dictionary(docs: DataFrame, end_id: int, tokenizer: str | None, n: int) -> bytes:
-    """Dictionary from ``DICTIONARY_DOCS`` documents at most, chosen by the hash of their id; empty if there are too few."""
+    """Dictionary from whole texts of up to ``DICTIONARY_CHARS`` characters, ``DICTIONARY_DOCS`` documents at most: those with the smallest
+    hashes of their id, so that each run picks the same ones; empty if there are too few."""
     import zstandard
 
-    share = min(1.0, 2.0 * DICTIONARY_DOCS / max(n, 1))
-    chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).limit(DICTIONARY_DOCS)
-    texts = [r["text"] for r in chosen.select(F.substring("text", 1, 20_000).alias("text")).collect()]
+    share = min(1.0, 4.0 * DICTIONARY_DOCS / max(n, 1))
+    order = F.xxhash64("doc_id", F.lit("dictionary"))
+    chosen = docs.where(F.pmod(order, F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).where(F.length("text") <= DICTIONARY_CHARS)
+    texts = [r["text"] for r in chosen.orderBy(order, "text").limit(DICTIONARY_DOCS).select("text").collect()]
     end = int(end_id).to_bytes(4, "little")
     samples = [x + end for x in encoder(tokenizer).encode(texts)]
     try:

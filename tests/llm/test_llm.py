@@ -368,13 +368,50 @@ def test_classifier_held_out(spark):
 
 
 def test_classifier_on_awkward_rows(spark):
-    df = spark.createDataFrame([(i, t, None, None, None) for i, t in AWKWARD], FULL)
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in [*AWKWARD, (30, "word " * 300_000)]], FULL)
     none = spark.createDataFrame([], "doc_id long, quality int")
-    out = op8.score_documents(clashing(df), op8.fit(df, none)).collect()
-    assert len(out) == len(AWKWARD) and {r["quality_score"] for r in out} == {0.5}
+    features = op8.featured(clashing(df))
+    out = op8.score_documents(clashing(df), op8.fit(features, none)).collect()
+    assert len(out) == len(AWKWARD) + 1 and {r["quality_score"] for r in out} == {0.5} and {r["score"] for r in out} == {"mine"}
     one = spark.createDataFrame([(4, 1), (4, 0), (6, 1)], "doc_id long, quality int")
-    assert {r["quality_score"] for r in op8.score_documents(df, op8.fit(df, one)).collect()} == {1.0}
-    assert op8.score_documents(df.limit(0), op8.fit(df, none)).count() == 0
+    assert {r["quality_score"] for r in op8.score_features(features, op8.fit(features, one)).collect()} == {1.0}
+    both = spark.createDataFrame([(i, i % 2) for i, _ in AWKWARD if i], "doc_id long, quality int")
+    mixed = op8.fit(features, both)
+    key = lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["text_score"])
+    a, b = (sorted(x.collect(), key=key) for x in (op8.score_features(features, mixed), op8.score_documents(df, mixed)))
+    assert [r["quality_score"] for r in a] == [r["quality_score"] for r in b] and a[0]["doc_id"] is None
+    assert op8.score_documents(df.limit(0), op8.fit(op8.featured(df.limit(0)), none)).count() == 0
+
+
+def test_the_surest_documents_match_brute_force(spark):
+    """Pseudo-labels come from all unlabelled rows, over any number of tasks, ties and repeated rows included."""
+    r = random.Random(6)
+    rows_ = [(i, " ".join(r.choices(["fine", "word", "!!!", "$$"], k=r.randint(1, 40))), f"s{i % 5}", "en", i % 50) for i in range(900)]
+    features = op8.featured(spark.createDataFrame(rows_ + rows_[:100], FULL).repartition(9))
+    pdf = features.toPandas().drop_duplicates("doc_id").sort_values("doc_id")
+    y = np.array([float("$$" not in x[1]) for x in rows_])
+    views = [op8.View.fit(x, y, x, y) for x in (op8.matrix(pdf["t"]), op8.meta_matrix(pdf))]
+    surest, gone = op8.surest_of(features), set()
+    for _ in range(2):
+        want = []
+        for v, x in enumerate((op8.matrix(pdf["t"]), op8.meta_matrix(pdf))):
+            p = op8.sigmoid(views[v].odds(x))
+            for kind, sure, most in ((1, p, 30), (0, 1 - p, 20)):
+                ranked = sorted((-s, i) for s, i in zip(sure, pdf["doc_id"], strict=True) if s >= op8.SURE and i not in gone)
+                want += [(i, v, kind) for _, i in ranked[:most]]
+        first = {}
+        for i, v, kind in want:
+            first.setdefault(i, (v, kind))
+        got = surest(views, 30, 20)
+        assert [sum(1 for x in first.values() if x[0] == v) for v in (0, 1)] == [len(g[2]) for g in got]
+        assert sorted(x[1] for x in first.values()) == sorted(int(z) for g in got for z in g[2])
+        gone |= set(first)
+
+
+def test_the_text_view_reads_words():
+    view, base = op8.TextView(), "abcd efgh ijkl"
+    one, two = (op8.matrix([view(t)])[0] for t in (base, "efgh abcd mnop"))
+    assert np.allclose(one[: op8.STATISTICS], two[: op8.STATISTICS]) and not np.allclose(one, two)
 
 
 @data
