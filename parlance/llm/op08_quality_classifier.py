@@ -39,6 +39,8 @@ SOURCES, LANGS, WORDS = 32, 8, 64
 STATISTICS = 14
 TEXT_FEATURES, META_FEATURES = STATISTICS + WORDS, SOURCES + LANGS + 3
 CACHE_WORDS = 200_000
+#: Words' features are spread by at least this much, so that the statistics, which are few, outweigh them where labels are few.
+LEAST_SPREAD = np.r_[np.full(STATISTICS, 1e-6), np.full(WORDS, 0.2)]
 KINDS = 9  # other, lower, upper, digit, space, newline, mark, symbol, exclamation
 
 
@@ -141,6 +143,8 @@ class View:
     @staticmethod
     def fit(x: np.ndarray, y: np.ndarray, cx: np.ndarray, cy: np.ndarray) -> View:
         centre, spread = x.mean(0), x.std(0) + 1e-6
+        if x.shape[1] == TEXT_FEATURES:
+            spread = np.maximum(spread, LEAST_SPREAD)
         view = View(centre, spread, logistic((x - centre) / spread, y), np.array([1.0, 0.0]))
         if 0 < cy.sum() < len(cy):
             view.calibration = logistic(view.raw(cx)[:, None], cy)

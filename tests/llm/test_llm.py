@@ -486,9 +486,96 @@ PAGE = """<html><head><title>t</title><script>var a="</p>";</script></head><body
 line</p><aside>side</aside><form><input>go</form><!-- no --><style>p{}</style></article><section id="comments"><p>Me too</p></section><footer>&copy; x</footer></body></html>"""
 
 
+def main_text(page):
+    return op10.settle([op10.blocks(page)])[0]
+
+
 def test_article_text():
-    assert op10.settle([op10.blocks(PAGE)]) == ["Title & more\nFirst bold text and\nsecond line"]
-    assert op10.settle([op10.blocks(x) for x in (None, "", "<p></p>", "plain <b", "<div>a<p>b")]) == ["", "", "", "plain", "a\nb"]
+    assert main_text(PAGE) == "Title & more\nFirst bold text and\nsecond line"
+    assert [main_text(x) for x in (None, "", "<p></p>", "plain <b", "<div>a<p>b")] == ["", "", "", "plain", "a\nb"]
+
+
+def test_what_wraps_the_article_does_not_hide_it():
+    assert main_text("<form><div><article><p>Body</p></article></div></form>") == "Body"
+    assert main_text("<form><div><article><p>Body</p>") == "Body"
+    assert main_text('<div class="search-results ads"><article>Body</article></div>') == "Body"
+    assert main_text('<section id="comments"><main>Body</main></section><div class="ad">Buy</div>') == "Body"
+    assert main_text("<div><p>Real body</p></div><article><h2>Teaser</h2></article>") == "Real body\nTeaser"
+    assert main_text('<article><div class="notice"><p>kept</p></div><p>more</p></article>') == "kept\nmore"
+    assert main_text("<article><h1>T</h1><p>x</p><article>a comment</article><section id=comments>another</section></article><div>menu</div>") == "T\nx"
+    assert main_text("<form><p>Name</p></form><p>text</p>") == "text"
+
+
+def test_broken_markup_is_read_in_linear_time():
+    import time
+
+    n = 20_000
+    pages = ["<div>" * n + "</p>" * n, "<div>" * n + "</b></x>" * n, "<a 'x>" * n + "<p>y", '<a "x> ' * (n + 1), "<!--" * n, "<b " * n, "<div class=" * n, "<script>" * n, "'\"<x " * n, "<article>" * n + "x", "<form>" * n + "x<p>y" * n, "<form><article>" * n + "x<p>y" * n, "word " * 10 * n]
+    began = time.perf_counter()
+    for page in pages:
+        op10.blocks(page)
+    assert time.perf_counter() - began < 10
+    assert main_text("<p>a<!-- never ends") == "a" and main_text("<p>a < b <b>c") == "a < b c"
+    assert main_text("<a title='it's>x</a><p>y") == "x\ny" and main_text("</p></div>x<p>y</article>") == "x\ny"
+
+
+def brute_host(pages, core):
+    """The whole query on one host, read plainly: every run of 8 tokens of every page against all pages."""
+    read = []
+    for page in pages:
+        found = op10.blocks(page)
+        own = op10.plain_core(found) if core else None
+        ts = [(kind, t.split(" ")) for kind, t, _ in found if not (own and kind.startswith("core"))]
+        read.append((own, ts))
+    seen = defaultdict(set)
+    for _, ts in read:
+        flat = tuple(w for _, ws in ts for w in ws)
+        for i in range(len(flat) - 7):
+            seen[flat[i : i + 8]].add(flat)
+    out = []
+    for own, ts in read:
+        flat = tuple(w for _, ws in ts for w in ws)
+        covered = [any(len(seen[flat[i : i + 8]]) >= 3 for i in range(max(0, p - 7), min(p, len(flat) - 8) + 1)) for p in range(len(flat))]
+        at, kept, every = 0, [], []
+        for kind, ws in ts:
+            share = sum(covered[at : at + len(ws)]) / len(ws)
+            at += len(ws)
+            if kind != "chrome":
+                every.append(" ".join(ws))
+                kept += [" ".join(ws)] * (share < 0.5)
+        out.append("\n".join(own or kept or every))
+    return out
+
+
+@pytest.mark.parametrize("core", [True, False])
+def test_the_whole_query_matches_brute_force(spark, core):
+    r = random.Random(8)
+    words = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    shared = [f"<div>{words(f'boiler{k}x', r.randint(4, 20))}</div>" for k in range(6)]
+    rows_ = []
+    for k in range(160):
+        body = "".join(f"<p>{words(f'own{k}p{j}x', r.randint(1, 15))}</p>" for j in range(r.randint(0, 3)))
+        body = r.choice([body, f"<article><h1>t</h1>{body}</article>", f"<article>{body}</article>", f"<form>{body}</form>"])
+        parts = [*r.sample(shared, r.randint(0, 3)), body, f"<nav>{words(f'menu{k % 4}x', 9)}</nav>", r.choice(["", "<p>one tail</p>"])]
+        r.shuffle(parts)
+        rows_.append((k, f"http://host{k % 3}/{k}", "".join(parts)))
+    rows_ += [(500 + k, rows_[k][1], rows_[k][2]) for k in range(10)]
+    want = {}
+    for h in range(3):
+        own = [x for x in rows_ if x[1].startswith(f"http://host{h}/")]
+        want |= dict(zip([x[0] for x in own], brute_host([x[2] for x in own], core), strict=True))
+    df = spark.createDataFrame(rows_, "page_id long, url string, html string").repartition(5)
+    assert {x["page_id"]: x["text"] for x in op10.extract(df, core=core).collect()} == want
+
+
+@data
+def test_the_text_of_pages_is_their_article():
+    import duckdb
+
+    for (page,) in duckdb.sql(f"SELECT html FROM '{DATA}/pages.parquet'").fetchall():
+        inside = re.search(r"(?s)<article>(.*?)</article>", page)[1]
+        parts = [" ".join(html.unescape(re.sub(r"(?s)<b>|</b>|<!--.*?-->", "", re.sub("<br>", " ", x))).split()) for x in re.split(r"</?(?:p|h1)>", inside)]
+        assert main_text(page) == "\n".join(x for x in parts if x)
 
 
 def test_pages_without_an_article_lose_what_their_host_repeats():
