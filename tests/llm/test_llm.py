@@ -64,6 +64,8 @@ def brute_components(pairs, width, percent=80):
 
     for a in range(len(ids)):
         for b in range(a):
+            if 100 * min(len(sets[a]), len(sets[b])) < percent * max(len(sets[a]), len(sets[b])):
+                continue
             both = len(sets[a] & sets[b])
             if both and None not in (ids[a], ids[b]) and 100 * both >= percent * len(sets[a] | sets[b]):
                 x, y = sorted((find(ids[a]), find(ids[b])))
@@ -117,14 +119,89 @@ def test_near_duplicates_on_awkward_rows(spark):
 def test_regions_adapt_their_depth():
     r = np.random.default_rng(0)
     n = 3 * op1.BLOCK
-    keys = sorted(bytes([0, 1, 1, 2, 2, int(x)]) + b"\0" * 19 for x in r.integers(0, 9, n))
     ids, sig = np.arange(n), r.integers(0, 256, (n, op1.TREES * op1.DEPTH)).astype(np.uint8)
+    sig[:, op1.LEAST : op1.LEAST + 2] = 7
+    sig[:, op1.LEAST + 2] = r.integers(0, 9, n)
     regions = op1.Regions("t")
-    regions.region(keys, ids, sig)
+    regions.large(ids, sig, 0, 0)
     sizes = defaultdict(int)
     for _, block, *_ in regions.rows:
         sizes[block] += 1
-    assert max(sizes.values()) <= op1.BLOCK and len(sizes) >= 9 and sum(sizes.values()) == n
+    assert max(sizes.values()) <= op1.BLOCK and len(sizes) == 9 and sum(sizes.values()) == n
+    equal = op1.Regions("t")
+    equal.large(ids, np.zeros_like(sig), 0, 1)
+    held = defaultdict(set)
+    for _, block, i, *_ in equal.rows:
+        held[block].add(i)
+    assert set.intersection(*held.values()) == {0} and set.union(*held.values()) == set(range(n)) and max(map(len, held.values())) <= op1.BLOCK
+
+
+def test_rows_that_leave_their_partition_meet(spark, monkeypatch):
+    """Regions of any size come whole out of any cut; beyond LOCAL rows they are dealt by their minima, level by level."""
+    monkeypatch.setattr(op1, "BLOCK", 20)
+    monkeypatch.setattr(op1, "LOCAL", 40)
+    r = np.random.default_rng(1)
+    sig = r.integers(0, 4, (430, op1.TREES * op1.DEPTH)).astype(np.uint8)
+    sig[230:] = sig[230]  # 200 equal ones
+    where = [b"\0one."] * 1 + [b"\0two."] * 19 + [b"\0thr."] * 210 + [b"\0equ."] * 200
+    rows_ = [(k, i, bytes(x)) for k, i, x in zip(where, range(430), sig, strict=True)]
+    got = op1.groups_of(spark.createDataFrame(rows_, "region binary, a long, sig binary").repartition(7)).collect()
+    groups = defaultdict(list)
+    for x in got:
+        groups[bytes(x["region"]), x["order"], x["group"]].append((x["a"], x["level"]))
+    by = lambda name: {k: v for k, v in groups.items() if k[0] == name}
+    assert not by(b"\0one.") and [sorted(a for a, _ in v) for v in by(b"\0two.").values()] == [list(range(1, 20))]
+    for order in range(op1.ORDERS + 1):
+        seen = set()
+        for (_, k, _), v in by(b"\0thr.").items():
+            if k == order:
+                level, at = v[0][1], [a for a, _ in v]
+                assert len(v) <= 40 and {x for _, x in v} == {level}
+                assert len(np.unique(sig[at][:, op1.COLUMN_ORDERS[0][order][:level]], axis=0)) == 1
+                seen.update(at)
+        alone = set(range(20, 230)) - seen  # rows that no other row meets at that depth
+        assert len(seen) + len(alone) == 210 and len(seen) > 150
+        pieces = [{a for a, _ in v} for (_, k, _), v in by(b"\0equ.").items() if k == order]
+        assert set.union(*pieces) == set(range(230, 430)) and 230 in set.intersection(*pieces) and len(pieces) > 1
+
+
+def test_hubs_and_large_blocks_are_confirmed_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(op1, "HUB", 4)
+    pairs = near_copies(11, groups=3, most=30)
+    sets = splitmix([t for _, t in pairs], 4)
+    every = [(a[0], b[0]) for k, a in enumerate(pairs) for b in pairs[:k]]
+    want = {(min(a, b), max(a, b)) for a, b in every if 100 * len(sets[a - 1] & sets[b - 1]) >= 80 * len(sets[a - 1] | sets[b - 1])}
+    got = op1.confirmed(spark.createDataFrame(every, "a long, b long"), docs(spark, pairs + [(1, "another text of the first id")]), 4, 80)
+    assert {(x["a"], x["b"]) for x in got.collect()} == want and len(want) > 50
+    rows_ = spark.createDataFrame([("x", a, 100) for a in range(40)] + [("y", a, 1) for a in range(5)], "block string, a long, n long")
+    tasks = defaultdict(set)
+    for x in op1.in_chunks(rows_, most=16_000).collect():
+        tasks[x["block"], x["i"], x["j"]].add(x["a"])
+    together = {(block, a, b) for (block, _, _), v in tasks.items() for a in v for b in v}
+    assert together == {("x", a, b) for a in range(40) for b in range(40)} | {("y", a, b) for a in range(5) for b in range(5)}
+    assert max(len(v) for (block, _, _), v in tasks.items() if block == "x") < 40 and len([k for k in tasks if k[0] == "y"]) == 1
+
+
+@pytest.mark.parametrize("likely", [op1.LIKELY, 0.0])
+def test_near_duplicates_over_many_cut_partitions(spark, likely):
+    """More partitions than regions: every region touches an edge."""
+    pairs = near_copies(5, groups=20, most=14)
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "61")
+    try:
+        got = op1.near_duplicates(docs(spark, pairs), width=4, likely=likely).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == sorted(brute_components(pairs, 4))
+
+
+@data
+def test_near_duplicates_of_a_table_match_brute_force(spark):
+    """All of sf0.01: pairs of equal sizes within the limit are compared one by one."""
+    folder = DATA.replace("sf0.001", "sf0.01")
+    pairs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
+    got = op1.query(spark, folder).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == sorted(brute_components(pairs, 4))
 
 
 def test_components_of_chains_and_stars(spark):

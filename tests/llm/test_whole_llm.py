@@ -42,19 +42,22 @@ def passage_sharers(n, share, links, seed):
     return out + [np.unique(np.r_[passage, draw(100 - share)]) for _ in range(n - len(out))]
 
 
-def links_out_of_reach(sets, links, step):
-    """Links that share no candidate and no block, with regions handled by ``step``."""
+def links_out_of_reach(sets, links, orders):
+    """Links that share no candidate and no block, with so many orders of each large region."""
     low = np.array([op1.minima(x) for x in sets])
     sig, near, blocks = low.astype(np.uint8), set(), defaultdict(set)
     for tree in range(op1.TREES):
-        cut = low[:, tree * op1.DEPTH : (tree + 1) * op1.DEPTH].astype(">u2")
-        keys = [bytes([tree]) + x.tobytes() for x in cut]
+        cut = low[:, tree * op1.DEPTH : tree * op1.DEPTH + op1.LEAST].astype(">u2")
         groups = defaultdict(list)
-        for i in sorted(range(len(sets)), key=keys.__getitem__):
-            groups[keys[i][: 1 + 2 * op1.LEAST]].append(i)
+        for i, x in enumerate(cut):
+            groups[x.tobytes()].append(i)
         regions = op1.Regions(f"t{tree}")
         for at in groups.values():
-            getattr(regions, step)([keys[i] for i in at], np.array(at), sig[at])
+            if len(at) <= op1.BLOCK:
+                regions.region(np.array(at), sig[at])
+            else:
+                for order in range(orders):
+                    regions.large(np.array(at), sig[at], tree, order)
         near |= {frozenset(map(int, p)) for p in regions.pairs}
         for _, block, i, *_ in regions.rows:
             blocks[i].add(block)
@@ -67,11 +70,11 @@ def test_links_inside_a_region_beyond_a_block(monkeypatch):
     for k in range(400):
         a, b = sets[2 * k], sets[2 * k + 1]
         assert 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b))
-    assert len(links_out_of_reach(sets, 400, "region")) > 0  # the split by prefix alone
-    assert links_out_of_reach(sets, 400, "take") == []
+    assert len(links_out_of_reach(sets, 400, 1)) > 0  # the split by prefix alone
+    assert links_out_of_reach(sets, 400, 1 + op1.ORDERS) == []
 
 
 def test_few_links_are_lost_where_all_rows_nearly_match(monkeypatch):
     monkeypatch.setattr(op1, "BLOCK", 64)
     sets = passage_sharers(3000, 85, 400, 1)  # any two rows have a similarity of 0.74
-    assert 5 * len(links_out_of_reach(sets, 400, "take")) < len(links_out_of_reach(sets, 400, "region"))
+    assert 5 * len(links_out_of_reach(sets, 400, 1 + op1.ORDERS)) < len(links_out_of_reach(sets, 400, 1))
