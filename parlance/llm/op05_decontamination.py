@@ -24,7 +24,7 @@ don't matter.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import load, written
@@ -33,7 +33,13 @@ NAME = "op5_decontamination"
 WIDTH, PERCENT = 5, 80
 
 
-def word_array(text: str) -> str:
+def bound(name: str, value: str, body: str) -> str:
+    """SQL for ``body`` with ``value`` evaluated once, under a name. An array that is bound like this stays an array of objects; one that
+    is read from a row would be unpacked as a whole for each shingle."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def word_array(text: str = "text") -> str:
     return f"filter(split(lower(`{text}`), '[^\\\\p{{L}}\\\\p{{N}}]+'), x -> x <> '')"
 
 
@@ -45,18 +51,12 @@ def grams(width: str, hashed: bool = False) -> str:
     return f"CASE WHEN size(w) >= {width} THEN transform(sequence(1, size(w) - {width} + 1), i -> {each}) ELSE cast(array() AS array<{kind}>) END"
 
 
-def with_words(df: DataFrame, key: str) -> DataFrame:
-    """(key, w) of rows with a key and words; the words are made once, not again for each expression that reads them."""
-    rows = df.select(key, F.explode(F.expr(f"array({word_array('text')})")).alias("w"))
-    return rows.where(F.col(key).isNotNull() & (F.size("w") > 0))
-
-
 def item_sets(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """(item_id, width, n, size_class, hashes, item): distinct shingles of each item with words."""
-    rows = with_words(benchmark.dropDuplicates(["item_id"]), "item_id").withColumn("width", F.least(F.lit(width), F.size("w")))
-    rows = rows.select("item_id", "width", F.expr(f"array_distinct({grams('width')})").alias("item"), F.expr(f"array_sort(array_distinct({grams('width', True)}))").alias("hashes"))
+    sets = bound("w", word_array(), f"struct(least({width}, size(w)) AS width, array_distinct({grams(f'least({width}, size(w))')}) AS item, array_sort(array_distinct({grams(f'least({width}, size(w))', True)})) AS hashes)")
+    rows = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").dropDuplicates(["item_id"]).select("item_id", F.expr(sets).alias("s")).select("item_id", "s.*")
     n = F.size("item").cast("long")
-    return rows.select("item_id", "width", n.alias("n"), F.floor(F.log2(n.cast("double"))).cast("int").alias("size_class"), "hashes", "item")
+    return rows.where("width > 0").select("item_id", "width", n.alias("n"), F.floor(F.log2(n.cast("double"))).cast("int").alias("size_class"), "hashes", "item")
 
 
 def sketches(items: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -67,7 +67,7 @@ def sketches(items: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def candidates(docs: DataFrame, items: DataFrame, key: str, percent: int = PERCENT, broadcast_rows: int = 200_000, salts: int = 32) -> DataFrame:
-    """Distinct (key, item_id) whose sketches meet; ``docs`` has key and words ``w``, ``items`` comes from :func:`item_sets`."""
+    """Distinct (key, item_id) whose sketches meet; ``docs`` has key and text, ``items`` comes from :func:`item_sets`."""
     sketch = sketches(items, percent)
     # a row for each power of two and width: 64 x 5 at most
     parts = sketch.groupBy("width", "size_class").agg(F.max("h").alias("top"), F.min("n").alias("least"), F.count("*").alias("rows")).orderBy("width", "size_class").collect()
@@ -78,16 +78,16 @@ def candidates(docs: DataFrame, items: DataFrame, key: str, percent: int = PERCE
         own = [p for p in parts if p["width"] == width]
         # the largest threshold of the partitions whose items the document can contain: a hash is sent once for all of them
         top = "greatest(" + ", ".join(f"IF(100 * size(w) >= {percent} * {p['least']}, {p['top']}L, NULL)" for p in own) + f", {-(2**63) + 1}L)"
-        each.append(f"transform(filter({grams(str(width), True)}, h -> h <= {top}), h -> struct({width} AS width, h))")
-    rows = docs.select(key, F.size("w").alias("n_words"), F.explode(F.expr(f"array_distinct({each[0] if len(each) == 1 else 'concat(' + ', '.join(each) + ')'})")).alias("g"))
-    rows = rows.select(key, "n_words", "g.width", "g.h")
-    sketch = sketch.select("item_id", "n", "width", "h")
+        each.append(bound("t", top, f"transform(array_distinct(filter({grams(str(width), True)}, h -> h <= t)), h -> struct({width} AS width, h AS h))"))
+    found = bound("w", word_array(), each[0] if len(each) == 1 else f"concat({', '.join(each)})")
+    rows = docs.where(F.col(key).isNotNull() & F.col("text").isNotNull()).select(key, F.explode(F.expr(found)).alias("g")).select(key, "g.width", "g.h")
+    sketch = sketch.select("item_id", "width", "h")
     if sum(p["rows"] for p in parts) <= broadcast_rows:
         met = rows.join(F.broadcast(sketch), ["width", "h"])
     else:
         sketch = sketch.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         met = rows.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")).join(sketch, ["width", "h", "salt"])
-    return met.where(100 * F.col("n_words") >= percent * F.col("n")).select(key, "item_id").distinct()
+    return met.select(key, "item_id").distinct()
 
 
 def leaks(
@@ -96,18 +96,18 @@ def leaks(
     """Pairs (key, item_id, n_item, n_found, containment) with containment of at least ``percent``."""
     docs, items = docs.select(key, "text"), written(item_sets(benchmark.select("item_id", "text"), width), "op5-items")
     # written, so that its size is known before the documents are read again
-    pairs = written(candidates(with_words(docs, key), items, key, percent, broadcast_rows, salts), "op5-pairs")
+    pairs = written(candidates(docs, items, key, percent, broadcast_rows, salts), "op5-pairs")
     ids = written(pairs.select(key).distinct(), "op5-ids")
     few = ids.limit(broadcast_ids + 1).count() <= broadcast_ids
     texts = written(docs.join(F.broadcast(ids) if few else ids.hint("merge"), key, "left_semi"), "op5-texts")
-    found = pairs.join(with_words(texts, key).hint("merge"), key)
+    found = pairs.join(texts.hint("merge"), key)
     wanted = items.select("item_id", "width", "n", "item")
     if (items.agg(F.sum("n").alias("n")).first()["n"] or 0) <= broadcast_rows:
         found = found.join(F.broadcast(wanted), "item_id")
     else:
         wanted = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         found = found.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")).join(wanted, ["item_id", "salt"])
-    held = F.expr(f"size(array_intersect(item, {grams('width')}))").cast("long")
+    held = F.expr(bound("w", word_array(), f"size(array_intersect(item, {grams('width')}))")).cast("long")
     return (
         found.select(key, "item_id", F.col("n").alias("n_item"), held.alias("n_found"))
         .where(100 * F.col("n_found") >= percent * F.col("n_item"))
