@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 RATE = 16_000
 EFFECTS = ("autogain", "bandpass", "presence", "dereverb")
@@ -74,6 +75,32 @@ def level(x: np.ndarray) -> float:
     return 20 * np.log10(rms(x) + 1e-12)
 
 
+def around(x: np.ndarray, at_s: float, half_s: float = 0.2) -> tuple[float, float]:
+    """Levels (RMS) of what lies within ``half_s`` before and after a moment; 0 where nothing does."""
+    centre, width = int(at_s * RATE), int(half_s * RATE)
+    return rms(x[max(0, centre - width) : max(0, centre)]), rms(x[max(0, centre) : centre + width])
+
+
+def levels_around(recordings: DataFrame, cuts: DataFrame, key: str = "recording_id", half_s: float = 0.2) -> DataFrame:
+    """(key, boundary, rms_before, rms_after) of cuts (key, boundary, cutoff_ms) in recordings (key, content): a recording is decoded once."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for k, content, at in zip(pdf[key], pdf["content"], pdf["cuts"], strict=True):
+                x = read_wav(bytes(content))
+                rows += [(k, c["boundary"], *around(x, c["cutoff_ms"] / 1000, half_s)) for c in at]
+            yield pd.DataFrame(rows, columns=[key, "boundary", "rms_before", "rms_after"])
+
+    listed = cuts.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("boundary", "cutoff_ms"))).alias("cuts"))
+    return recordings.select(key, "content").join(listed, key).mapInPandas(run, f"{key} string, boundary long, rms_before double, rms_after double")
+
+
+def slices(x: np.ndarray, turns: list[tuple[float, float]]) -> np.ndarray:
+    """The samples of turns (start, end in seconds), joined in order of time."""
+    return np.concatenate([np.empty(0, x.dtype), *[x[int(a * RATE) : int(b * RATE)] for a, b in sorted(turns)]])
+
+
 def tile(regions: list[tuple[int, int, float]], n: int) -> list[tuple[int, int, float]]:
     """Regions without overlaps (the earlier one keeps its samples), with unity regions in the gaps."""
     out, at = [], 0

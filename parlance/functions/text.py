@@ -7,7 +7,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-TOKEN = "[A-Za-zА-яҐґЄєІіЇї0-9']+"
+# Fixed value: a token of a transcript.
+TOKEN = r"[A-Za-zА-Яа-яҐґЄєІіЇї0-9']+"
+# Fixed value: a heading that repeats the summary's own.
+SUMMARY_HEADING = r"\A\s*(?:#{1,6}\s*TL;?DR\s*\n+|\*\*TL;?DR:?\*\*\s*\n+)"
 # Short English back-channel words.
 FILLERS = ["yes", "yeah", "yep", "yup", "okay", "ok", "sure", "right", "mhm", "uh-huh", "mm", "hmm", "uh", "um"]
 FILLER_MARKS = ".,!?…"
@@ -76,6 +79,40 @@ def edit_is_safe(original: Column, edited: Column, max_edit: float = 0.5, max_ra
     )
 
 
+def without_artifacts(text: str | None) -> str | None:
+    """:func:`strip_artifacts` of one text, for stages that go row by row."""
+    if text is None:
+        return None
+    text = text.strip()
+    if len(text) >= 2 and text[0] == text[-1] and text[0] in "\"'`":
+        text = text[1:-1].strip()
+    return text.removeprefix("Text: ")
+
+
+def is_safe(original: str, edited: str | None, max_edit: float = 0.5, max_ratio: float = 2.0) -> bool:
+    """:func:`edit_is_safe` of one pair."""
+    import numpy as np
+
+    if not edited or not edited.strip() or len(edited) > max_ratio * len(original) or len(original) > max_ratio * len(edited):
+        return False
+    a, b = (np.array([ord(c) for c in t]) for t in (original, edited))
+    place = np.arange(len(b) + 1)
+    row = place.copy()
+    for i, x in enumerate(a, 1):
+        best = np.minimum(row[1:] + 1, row[:-1] + (b != x))
+        # what an insertion costs runs along the row: a running minimum of cost minus place
+        row = np.minimum.accumulate(np.r_[i, best] - place) + place
+    return bool(row[-1] <= max_edit * max(len(a), len(b)))
+
+
+def request_text(text: str, before: str, after: str) -> str:
+    """The request for one row, as :func:`parlance.operators.scripts.user_content` has it."""
+    from ..operators.scripts import AFTER, BEFORE, CURRENT
+
+    parts = [f"{BEFORE}\n{before}\n"] * bool(before) + [f"{CURRENT}\n{text}"] + [f"\n{AFTER}\n{after}"] * bool(after)
+    return "\n".join(parts) if before or after else text
+
+
 def filler_form(text: Column) -> Column:
     return F.lower(F.btrim(text, F.lit(FILLER_MARKS)))
 
@@ -103,25 +140,26 @@ def label(name: Column, speaker: Column, fallback: str | None = None) -> Column:
 
 def strip_summary_heading(text: Column) -> Column:
     """Without a heading that repeats the summary's own: ``# TL;DR`` or ``**TL;DR**`` on a line by itself."""
-    bare = F.regexp_replace(text, r"(?i)\A\s*(?:#{1,6}\s*TL;?DR\s*\n+|\*\*TL;?DR:?\*\*\s*\n+)", "")
+    bare = F.regexp_replace(text, "(?i)" + SUMMARY_HEADING, "")
     return F.regexp_replace(bare, r"\A\n+", "")
 
 
 def topic_labels(topics: list[str], language: str) -> str:
     """Topics as a prompt names them: a comma list in English, else one line each; unknown ones stay."""
-    if language.startswith("en"):
+    if language.lower().startswith("en"):
         return ", ".join(topics)
     return "\n".join(f"- {TOPIC_LABELS.get(t, t)}" for t in topics)
 
 
 def short_model_name(name: Column) -> Column:
-    """What follows the last slash."""
-    return F.regexp_extract(name, "([^/]*)/*$", 1)
+    """Of ``org/name`` what follows the first slash; of a path its last part."""
+    path = F.substring(name, 1, 1).isin(".", "/", "~") | ~F.contains(name, F.lit("/"))
+    return F.when(path, F.regexp_extract(name, "([^/]*)/*$", 1)).otherwise(F.regexp_extract(name, "(?s)/(.*)$", 1))
 
 
 def csv_list(text: Column) -> Column:
     """Trimmed non-blank parts; null stays null."""
-    return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: F.length(x) > 0)
+    return F.filter(F.transform(F.split(text, ","), lambda x: F.regexp_replace(x, EDGES, "")), lambda x: F.length(x) > 0)
 
 
 def placeholders(text: Column) -> Column:

@@ -68,8 +68,12 @@ def percent(part: Column, whole: Column) -> Column:
 
 
 def utc_minute(text: Column) -> Column:
-    """ISO time as ``YYYY-MM-DD HH:MM UTC``; a time without a zone counts as UTC, text that is no time stays."""
-    return F.coalesce(F.date_format(F.try_to_timestamp(text), "yyyy-MM-dd HH:mm 'UTC'"), text)
+    """ISO time as ``YYYY-MM-DD HH:MM UTC``; a time without a zone counts as UTC, text that is no time stays. The session's zone plays no part."""
+    t = F.trim(text)
+    zoned = F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(t, F.lit("T00:00:00Z"))).when(t.rlike(r"\d:\d{2}.*(?:Z|[+-]\d{2}(?::?\d{2})?)$"), t).otherwise(F.concat(t, F.lit("Z")))
+    seconds = (F.unix_micros(F.try_to_timestamp(zoned)) / 1_000_000).cast("decimal(18,6)")
+    since = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
+    return F.coalesce(F.concat(F.substring(since.cast("string"), 1, 16), F.lit(" UTC")), text)
 
 
 def silence_line(start_s: Column, end_s: Column, kind: Column) -> Column:

@@ -107,16 +107,71 @@ def key_mismatch(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return one.unionByName(b.select(key).join(a.select(key), key, "left_anti").distinct().withColumn("side", F.lit("right")))
 
 
-def stages_by_model(stages: DataFrame) -> DataFrame:
-    """(seq, model, stage, elapsed): rows in execution order, the model named on its first row only."""
+def stages_by_model(stages: DataFrame, key: str = "recording_id") -> DataFrame:
+    """(key, seq, model, stage, elapsed): a recording's stages in execution order, the model named on its first row only."""
     return stages.sparkSession.sql(
-        """
-SELECT seq, stage, elapsed, CASE WHEN NOT model <=> lag(model) OVER (ORDER BY first, model, seq) OR lag(seq) OVER (ORDER BY first, model, seq) IS NULL THEN model END AS model
-FROM (SELECT *, min(seq) OVER (PARTITION BY model) AS first FROM {s})""",
+        f"""
+SELECT {key}, seq, stage, elapsed, CASE WHEN row_number() OVER (PARTITION BY {key}, model ORDER BY seq) = 1 THEN model END AS model FROM {{s}}""",
         s=stages,
     )
 
 
+def stage_totals(timings: DataFrame, keys: list[str], value: str = "elapsed") -> DataFrame:
+    """Seconds added up by stage, model, or whatever ``keys`` are; a stage may have run in several parts."""
+    return timings.groupBy(*keys).agg(F.sum(value).alias(value), F.count("*").alias("parts"))
+
+
+def given_names(u: DataFrame, names: DataFrame, key: str = "conv_id") -> DataFrame:
+    """(key, speaker, name, source): names (key, i, name) given by a user, to speakers in order of first appearance; further speakers stay unnamed."""
+    ranked = first_appearance(u, key).select(key, "speaker", "rank")
+    return ranked.join(names.select(key, F.col("i").alias("rank"), "name"), [key, "rank"]).select(key, "speaker", "name", F.lit("user-specified").alias("source"))
+
+
+def apply_names(u: DataFrame, names: DataFrame, key: str = "conv_id") -> DataFrame:
+    """``u`` with ``name`` from (key, speaker, name); rows of other speakers keep theirs, or null."""
+    own = F.col("name") if "name" in u.columns else F.lit(None).cast("string")
+    found = names.select(key, "speaker", F.col("name").alias("_n"))
+    return u.join(found, [key, "speaker"], "left").withColumn("name", F.coalesce("_n", own)).drop("_n")
+
+
+def name_sources(u: DataFrame, names: DataFrame, key: str = "conv_id") -> DataFrame:
+    """(key, speaker, source) of every speaker: where the name came from, or ``unidentified``."""
+    all_speakers = u.where("speaker IS NOT NULL").select(key, "speaker").distinct()
+    return all_speakers.join(names.select(key, "speaker", "source"), [key, "speaker"], "left").withColumn("source", F.coalesce("source", F.lit("unidentified")))
+
+
+def label_owners(u: DataFrame, key: str = "conv_id") -> DataFrame:
+    """(key, label, speaker, first_seq): the first speaker that goes by each label; a name is a label, and a speaker without one."""
+    empty = lambda c: F.nullif(F.col(c), F.lit(""))
+    label = F.coalesce(empty("name"), empty("speaker")) if "name" in u.columns else empty("speaker")
+    return u.where("speaker IS NOT NULL").groupBy(key, label.alias("label")).agg(F.min_by("speaker", "seq").alias("speaker"), F.min("seq").alias("first_seq"))
+
+
+def top_n(p: DataFrame, keys: list[str], label: str = "label", prob: str = "prob", n: int = 3) -> DataFrame:
+    """The ``n`` most probable labels (a report, so the limit is the feature); ties in order of the label."""
+    k = ", ".join(keys)
+    return p.sparkSession.sql(
+        f"SELECT * FROM (SELECT {k}, {label}, {prob}, row_number() OVER (PARTITION BY {k} ORDER BY {prob} DESC, {label}) AS rank FROM {{p}}) WHERE rank <= {n}", p=p
+    )
+
+
+def common_marks(human: DataFrame, judge: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(rows marked by both: key, human, judge), (keys that only one side marked: key, side). Inputs: key, mark."""
+    both = human.select(key, F.col("mark").alias("human")).join(judge.select(key, F.col("mark").alias("judge")), key)
+    return both, key_mismatch(human, judge, key)
+
+
+def all_keys(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Keys of either side, once each."""
+    return a.select(key).union(b.select(key)).distinct()
+
+
+def pattern_counts(messages: DataFrame, text: str, pattern: str, rest: str = "<unparsed>") -> DataFrame:
+    """(op, n): messages by what the pattern's first group holds; those without a match count as ``rest``."""
+    found = F.regexp_extract(text, pattern, 1)
+    return messages.groupBy(F.when(F.length(found) > 0, found).otherwise(rest).alias("op")).agg(F.count("*").alias("n"))
+
+
 def resolve_names(c: DataFrame, key: str = "conv_id") -> DataFrame:
     """Candidates (key, speaker, name, confidence, first_ms): low confidence and bad names go; of speakers who claim one name the surest
     keeps it, then the first to appear."""

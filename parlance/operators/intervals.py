@@ -106,6 +106,11 @@ def nearest_start(points: DataFrame, turns: DataFrame, key: str, at: str, turn:
     return both.withColumn("nearest_start", F.when(closer, F.col("asof_start")).otherwise(F.col("_bs"))).drop("_bt", "_bs", "asof_turn", "asof_start", "asof_value")
 
 
-def start_within(points: DataFrame, turns: DataFrame, key: str, at: str, turn: str, value: str, keep: list[str]) -> DataFrame:
-    """Equality with tolerance: times are integers, so rows meet where they are equal; the first turn wins."""
-    return points.join(turns.select(key, F.col("start_ms").alias(at), turn, value), [key, at]).groupBy(*keep).agg(F.min_by(value, turn).alias(value))
+def start_within(points: DataFrame, turns: DataFrame, key: str, at: str, turn: str, value: str, keep: list[str], tolerance: int = 0) -> DataFrame:
+    """(``keep``, value): each point with the first turn that starts within ``tolerance`` of it.
+
+    Starts are dealt to cells of ``tolerance + 1``; a point looks into its own cell and both neighbours, so this is an equi-join."""
+    cell = tolerance + 1
+    near = points.withColumn("_c", F.explode(F.sequence(F.floor(F.col(at) / cell) - 1, F.floor(F.col(at) / cell) + 1)))
+    starts = turns.select(key, F.col("start_ms").alias("_s"), F.floor(F.col("start_ms") / cell).alias("_c"), turn, value)
+    return near.join(starts, [key, "_c"]).where(F.abs(F.col("_s") - F.col(at)) <= tolerance).groupBy(*keep).agg(F.min_by(value, turn).alias(value))

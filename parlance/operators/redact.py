@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .intervals import containing
 
 
 def disjoint(r: DataFrame, key: str = "conv_id") -> DataFrame:
@@ -18,12 +21,20 @@ GROUP BY {key}, section, grp""",
     )
 
 
-def _hits(u: DataFrame, sections: DataFrame, ranges: DataFrame, key: str) -> str:
-    return f"""
-WITH m AS (SELECT u.*, s.i AS section, s.start_ms AS sec_start, s.end_ms AS sec_end FROM {{u}} u LEFT JOIN {{s}} s ON u.{key} = s.{key} AND s.start_ms <= u.start_ms AND u.start_ms < s.end_ms),
-x AS (SELECT *, row_number() OVER (PARTITION BY {key}, section ORDER BY seq) - 1 AS idx, count(*) OVER (PARTITION BY {key}, section) AS size FROM m),
-j AS (SELECT x.*, r.topic, r.start_idx AS rid, least(r.end_idx, x.size - 1) - greatest(r.start_idx, 0) + 1 = x.size AS whole
-  FROM x LEFT JOIN {{r}} r ON x.{key} = r.{key} AND x.section = r.section AND x.idx BETWEEN r.start_idx AND r.end_idx)"""
+def _placed(u: DataFrame, sections: DataFrame, ranges: DataFrame, key: str) -> DataFrame:
+    """Rows with the section that holds their start, their place in it, and the range that covers them.
+
+    A row meets its section in a time bucket, and its range by place: both are equi-joins, however many sections a recording has."""
+    hit = containing(u.select(key, "seq", "start_ms"), sections.select(key, "i", "start_ms", "end_ms"), key, "start_ms", "i", [key, "seq"])
+    rows = u.join(hit.select(key, "seq", "_hit"), [key, "seq"], "left")
+    rows = rows.withColumns({"section": F.col("_hit.r_i"), "sec_start": F.col("_hit.r_start_ms"), "sec_end": F.col("_hit.r_end_ms")}).drop("_hit")
+    place = Window.partitionBy(key, "section")
+    rows = rows.withColumn("idx", F.row_number().over(place.orderBy("seq")) - 1).withColumn("size", F.count("*").over(place))
+    sizes = rows.where("section IS NOT NULL").groupBy(key, "section").agg(F.count("*").alias("_n"))
+    # a range past its section's end is cut there, so it is unfolded over rows that exist
+    inside = disjoint(ranges, key).join(sizes, [key, "section"]).withColumn("_last", F.least("end_idx", F.col("_n") - 1)).where("_last >= greatest(start_idx, 0)")
+    covered = inside.select(key, "section", "topic", F.col("start_idx").alias("rid"), F.explode(F.sequence(F.greatest("start_idx", F.lit(0).cast("long")), F.col("_last"))).alias("idx"))
+    return rows.join(covered, [key, "section", "idx"], "left")
 
 
 def decisions(u: DataFrame, sections: DataFrame, ranges: DataFrame, key: str = "conv_id") -> DataFrame:
@@ -31,13 +42,10 @@ def decisions(u: DataFrame, sections: DataFrame, ranges: DataFrame, key: str = "
 
     Rows belong to the section that holds their start. Ranges are merged where they overlap."""
     return u.sparkSession.sql(
-        _hits(u, sections, ranges, key)
-        + f"""
+        f"""
 SELECT {key}, section, min(idx) AS start_idx, max(idx) AS end_idx, topic, count(*) AS n_rows, sum(end_ms - start_ms) AS total_ms
-FROM j WHERE rid IS NOT NULL GROUP BY {key}, section, rid, topic""",
-        u=u,
-        s=sections,
-        r=disjoint(ranges, key),
+FROM {{j}} WHERE rid IS NOT NULL GROUP BY {key}, section, rid, topic""",
+        j=_placed(u, sections, ranges, key),
     )
 
 
@@ -48,14 +56,14 @@ def redact(u: DataFrame, sections: DataFrame, ranges: DataFrame, policy: str = "
     ``drop``: ranges vanish; a section that would be empty keeps one row over its whole span."""
     if policy not in ("placeholder", "drop"):
         raise ValueError(f"unknown policy {policy}")
-    kept = f"SELECT {key}, seq, start_ms, end_ms, speaker, content FROM j WHERE rid IS NULL"
+    kept = f"SELECT {key}, seq, start_ms, end_ms, speaker, content FROM {{j}} WHERE rid IS NULL"
     if policy == "placeholder":
         # tenths, ties to even, in integers
         tenths = "(ms DIV 100 + CASE WHEN ms % 100 > 50 OR (ms % 100 = 50 AND ms DIV 100 % 2 = 1) THEN 1 ELSE 0 END)"
         more = f"""
 SELECT {key}, seq, start_ms, end_ms, CAST(NULL AS STRING), concat('[muted, ', {tenths} DIV 10, '.', {tenths} % 10, 's]') FROM (
-  SELECT {key}, min(seq) AS seq, min_by(start_ms, seq) AS start_ms, max_by(end_ms, seq) AS end_ms, sum(end_ms - start_ms) AS ms FROM j WHERE rid IS NOT NULL GROUP BY {key}, section, rid)"""
+  SELECT {key}, min(seq) AS seq, min_by(start_ms, seq) AS start_ms, max_by(end_ms, seq) AS end_ms, sum(end_ms - start_ms) AS ms FROM {{j}} WHERE rid IS NOT NULL GROUP BY {key}, section, rid)"""
     else:
         more = f"""
-SELECT {key}, min(seq), min(sec_start), min(sec_end), CAST(NULL AS STRING), '[muted, 0.0s]' FROM j WHERE section IS NOT NULL GROUP BY {key}, section HAVING count(*) = count(rid)"""
-    return u.sparkSession.sql(_hits(u, sections, ranges, key) + f"\n{kept}\nUNION ALL {more}", u=u, s=sections, r=disjoint(ranges, key))
+SELECT {key}, min(seq), min(sec_start), min(sec_end), CAST(NULL AS STRING), '[muted, 0.0s]' FROM {{j}} WHERE section IS NOT NULL GROUP BY {key}, section HAVING count(*) = count(rid)"""
+    return u.sparkSession.sql(f"{kept}\nUNION ALL {more}", j=_placed(u, sections, ranges, key))

@@ -6,8 +6,6 @@ run in parallel over recordings without Python.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +15,8 @@ PARAGRAPH_GAP_MS, PAUSE_MS, MIN_SILENCE_MS = 2000, 3000, 10_000
 
 
 def is_muted(speaker: str = "speaker", content: str = "content"):
-    return F.col(speaker).isNull() & F.col(content).startswith(MUTED)
+    """A speakerless row that stands for what was taken out; other speakerless rows are noise."""
+    return F.col(speaker).isNull() & F.coalesce(F.col(content).startswith(MUTED), F.lit(False))
 
 
 def pause_markers(u: DataFrame, key: str = "conv_id", least_ms: int = PAUSE_MS) -> DataFrame:
@@ -27,27 +26,35 @@ def pause_markers(u: DataFrame, key: str = "conv_id", least_ms: int = PAUSE_MS)
     )
 
 
-def silence_events(u: DataFrame, key: str = "conv_id", least_ms: int = MIN_SILENCE_MS) -> DataFrame:
+def silence_events(u: DataFrame, key: str = "conv_id", least_ms: int = MIN_SILENCE_MS, thresholds: DataFrame | None = None) -> DataFrame:
     """(key, start_ms, end_ms, kind): pauses between speakers, and chains of muted rows with the silence around them.
 
+    ``thresholds`` (key, least_ms) has a least length for each recording instead of one for all.
+
     Other speakerless rows are noise and ignored. A muted chain starts at the previous speaker's end where that is
     earlier; it takes in the gap to the next speaker if the gap alone is long enough. Nothing trails the last muted row."""
+    if thresholds is None:
+        kept = f"SELECT *, {least_ms} AS least FROM n"
+    else:
+        kept = f"SELECT n.*, h.least_ms AS least FROM n JOIN {{h}} h ON n.{key} = h.{key}"
+    rows = u.withColumn("_m", is_muted()).where("_m OR speaker IS NOT NULL")
     return u.sparkSession.sql(
         f"""
-WITH r AS (
-  SELECT {key}, seq, start_ms, end_ms, speaker IS NULL AS m FROM {{u}} WHERE speaker IS NOT NULL OR startswith(content, '{MUTED}')),
+WITH r AS (SELECT {key}, seq, start_ms, end_ms, _m AS m FROM {{u}}),
 g AS (SELECT *, sum(CASE WHEN m THEN 0 ELSE 1 END) OVER (PARTITION BY {key} ORDER BY seq) AS grp FROM r),
 s AS (SELECT {key}, grp, start_ms, end_ms FROM g WHERE NOT m),
 c AS (SELECT {key}, grp, min_by(start_ms, seq) AS ms, max_by(end_ms, seq) AS me FROM g WHERE m GROUP BY {key}, grp),
 a AS (SELECT coalesce(s.{key}, c.{key}) AS {key}, coalesce(s.grp, c.grp) AS grp, s.end_ms AS pe, c.ms, c.me
   FROM s FULL OUTER JOIN c ON s.{key} = c.{key} AND s.grp = c.grp),
-n AS (SELECT a.*, t.start_ms AS ns FROM a LEFT JOIN (SELECT {key}, grp - 1 AS grp, start_ms FROM s) t ON a.{key} = t.{key} AND a.grp = t.grp)
+n AS (SELECT a.*, t.start_ms AS ns FROM a LEFT JOIN (SELECT {key}, grp - 1 AS grp, start_ms FROM s) t ON a.{key} = t.{key} AND a.grp = t.grp),
+k AS ({kept})
 SELECT {key}, start_ms, end_ms, kind FROM (
-  SELECT {key}, CASE WHEN ms IS NULL THEN pe ELSE least(coalesce(pe, ms), ms) END AS start_ms,
-    CASE WHEN ms IS NULL THEN ns WHEN ns - me >= {least_ms} THEN ns ELSE me END AS end_ms,
-    CASE WHEN ms IS NULL THEN 'pause' ELSE 'muted' END AS kind FROM n)
-WHERE end_ms - start_ms >= {least_ms}""",
-        u=u,
+  SELECT {key}, least, CASE WHEN ms IS NULL THEN pe ELSE least(coalesce(pe, ms), ms) END AS start_ms,
+    CASE WHEN ms IS NULL THEN ns WHEN ns - me >= least THEN ns ELSE me END AS end_ms,
+    CASE WHEN ms IS NULL THEN 'pause' ELSE 'muted' END AS kind FROM k)
+WHERE end_ms - start_ms >= least""",
+        u=rows,
+        **({"h": thresholds} if thresholds is not None else {}),
     )
 
 
@@ -62,12 +69,14 @@ def event_anchors(events: DataFrame, u: DataFrame, key: str = "conv_id") -> Data
     ).select(key, "seq", "_e.*")
 
 
-def paragraphs(u: DataFrame, key: str = "conv_id", gap_ms: int = PARAGRAPH_GAP_MS, least_ms: int = MIN_SILENCE_MS) -> DataFrame:
+def paragraphs(
+    u: DataFrame, key: str = "conv_id", gap_ms: int = PARAGRAPH_GAP_MS, least_ms: int = MIN_SILENCE_MS, thresholds: DataFrame | None = None, marks: bool = False
+) -> DataFrame:
     """(key, para, speaker, first_seq, start_ms, end_ms, n, content): runs of one label without a gap or a silence inside.
 
-    Speakerless rows are skipped; the gap counts from the last speaker row."""
+    Speakerless rows are skipped; the gap counts from the last speaker row. With ``marks``, ``silence`` says whether one precedes it."""
     label = "coalesce(nullif(name, ''), speaker)" if "name" in u.columns else "speaker"
-    anchors = event_anchors(silence_events(u, key, least_ms), u, key).select(key, F.col("seq").alias("_a"))
+    anchors = event_anchors(silence_events(u, key, least_ms, thresholds), u, key).select(key, F.col("seq").alias("_a"))
     return u.sparkSession.sql(
         f"""
 WITH r AS (SELECT u.{key}, u.seq, {label} AS speaker, trim(content) AS content, start_ms, end_ms, a._a IS NOT NULL AS cut
@@ -76,7 +85,7 @@ b AS (SELECT *, CASE WHEN cut OR NOT speaker <=> lag(speaker) OVER w OR start_ms
   FROM r WINDOW w AS (PARTITION BY {key} ORDER BY seq)),
 p AS (SELECT *, sum(brk) OVER (PARTITION BY {key} ORDER BY seq) AS para FROM b)
 SELECT {key}, greatest(para, 1) AS para, speaker, min(seq) AS first_seq, min(start_ms) AS start_ms, max(end_ms) AS end_ms, count(*) AS n,
-  trim(listagg(content, ' ') WITHIN GROUP (ORDER BY seq)) AS content
+  trim(listagg(content, ' ') WITHIN GROUP (ORDER BY seq)) AS content{", bool_or(cut) AS silence" if marks else ""}
 FROM p GROUP BY {key}, greatest(para, 1), speaker""",
         u=u,
         a=anchors,
@@ -213,7 +222,7 @@ def speaker_chunks(u: DataFrame, key: str = "conv_id", size: int = 35, overlap:
 
 def neighbour_context(u: DataFrame, key: str = "conv_id", n: int = 3) -> DataFrame:
     """Adds ``before`` and ``after``: lines of the ``n`` rows on either side, from the rows as they are."""
-    line = "concat('[', coalesce(speaker, '?'), '] ', content)"
+    line = "concat(coalesce(concat('[', nullif(speaker, ''), '] '), ''), content)"
     return u.sparkSession.sql(
         f"""
 SELECT *, array_join(collect_list({line}) OVER (PARTITION BY {key} ORDER BY seq ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING), '\\n') AS before,
@@ -272,13 +281,3 @@ def first_rows(u: DataFrame, keys: list[str], n: int = 3, chars: int = 120) -> D
     )
 
 
-def batches(rows: Iterator, n: int) -> Iterator[list]:
-    """Lists of ``n`` items; the last may be shorter."""
-    held = []
-    for x in rows:
-        held.append(x)
-        if len(held) == n:
-            yield held
-            held = []
-    if held:
-        yield held

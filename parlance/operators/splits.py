@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import filler_form, is_filler
-from .intervals import BUCKET_MS, argmax_interval, asof, containing, nearest_start, overlap_join
+from .intervals import BUCKET_MS, argmax_interval, asof, bucketed, containing, nearest_start, overlap_join, owners_above
 
 
 def word_owners(words: DataFrame, turns: DataFrame, key: str, keys: list[str], turn: str, owner: str, filler_tie_ms: int = 0, deadband_ms: int = 0, bucket_ms: int = BUCKET_MS) -> DataFrame:
@@ -30,11 +30,10 @@ def word_owners(words: DataFrame, turns: DataFrame, key: str, keys: list[str], t
     return out
 
 
-def split_by_words(owned: DataFrame, keys: list[str], least_ms: int = 200) -> DataFrame:
-    """Fragments of equal owner: keys, fragment, first_i, start_ms, end_ms, content, owner; fragments that are too short or blank go.
+def word_pieces(owned: DataFrame, keys: list[str]) -> DataFrame:
+    """All runs of equal owner: keys, fragment, first_i, start_ms, end_ms, content, owner, top (the segment's last fragment).
 
-    ``owned`` has keys, ``i``, ``token``, times and ``owner``. Where every fragment of a segment would go, or there is only one,
-    the segment yields nothing here: the caller keeps the original."""
+    ``owned`` has keys, ``i``, ``token``, times and ``owner``."""
     k = ", ".join(keys)
     return owned.sparkSession.sql(
         f"""
@@ -43,12 +42,16 @@ WITH c AS (SELECT *, sum(CASE WHEN i > 0 AND NOT owner <=> prev THEN 1 ELSE 0 EN
 f AS (SELECT {k}, fragment, min(i) AS first_i, min_by(start_ms, i) AS start_ms, max_by(end_ms, i) AS end_ms,
     trim(listagg(token, ' ') WITHIN GROUP (ORDER BY i)) AS content, max(owner) AS owner, max(fragment) OVER (PARTITION BY {k}) AS top
   FROM c GROUP BY {k}, fragment)
-SELECT {k}, fragment, first_i, start_ms, end_ms, content, owner FROM f
-WHERE top > 0 AND end_ms - start_ms >= {least_ms} AND length(content) > 0""",
+SELECT {k}, fragment, first_i, start_ms, end_ms, content, owner, top FROM f""",
         o=owned,
     )
 
 
+def split_by_words(owned: DataFrame, keys: list[str], least_ms: int = 200) -> DataFrame:
+    """Fragments of equal owner that are long enough and not blank. A segment with one owner yields nothing here; see :func:`split_segments`."""
+    return word_pieces(owned, keys).where((F.col("top") > 0) & (F.col("end_ms") - F.col("start_ms") >= least_ms) & (F.length("content") > 0)).drop("top")
+
+
 def split_by_words_snapped(owned: DataFrame, keys: dict[str, str], least_ms: int = 200, window_ms: int = 500, below: float = 0.7) -> DataFrame:
     """As :func:`split_by_words`, with each cut moved to the least probable word near it.
 
@@ -93,22 +96,74 @@ def split_by_words_snapped(owned: DataFrame, keys: dict[str, str], least_ms: int
     return owned.join(several, names).groupBy(*names).applyInPandas(run, f"{schema}, fragment long, first_i long, start_ms long, end_ms long, content string, owner string")
 
 
-def split_by_chars(segs: DataFrame, turns: DataFrame, key: str, seg: str, least_ms: int = 200) -> DataFrame:
-    """Fragments of segments without words: cut at every turn that starts inside, text in proportion to time.
+def char_pieces(segs: DataFrame, turns: DataFrame, key: str, seg: str, bucket_ms: int = BUCKET_MS) -> DataFrame:
+    """(key, seg, start_ms, end_ms, content) of all pieces of segments in which a turn starts, text in proportion to time.
 
-    Character offsets truncate; fragments that are blank or too short go."""
+    Character offsets truncate. A turn's start meets segments in its time bucket."""
+    inside = bucketed(segs.select(key, seg, "start_ms", "end_ms"), "start_ms", "end_ms", bucket_ms)
+    starts = turns.select(key, F.col("start_ms").alias("at"), F.expr(f"start_ms DIV {bucket_ms}").alias("_bucket"))
+    cuts = inside.join(starts, [key, "_bucket"]).where("at > start_ms AND at < end_ms").select(key, seg, "at").distinct()
     return segs.sparkSession.sql(
         f"""
-WITH b AS (SELECT DISTINCT s.{key}, s.{seg}, t.start_ms AS at FROM {{s}} s JOIN {{t}} t ON s.{key} = t.{key} AND t.start_ms > s.start_ms AND t.start_ms < s.end_ms),
-p AS (SELECT {key}, {seg}, at FROM b UNION ALL SELECT s.{key}, s.{seg}, s.start_ms FROM {{s}} s JOIN (SELECT DISTINCT {key}, {seg} FROM b) q ON s.{key} = q.{key} AND s.{seg} = q.{seg}),
-c AS (SELECT p.{key}, p.{seg}, s.content, s.start_ms AS s0, s.end_ms AS s1, p.at, coalesce(lead(p.at) OVER (PARTITION BY p.{key}, p.{seg} ORDER BY p.at), s.end_ms) AS nxt
-  FROM p JOIN {{s}} s ON p.{key} = s.{key} AND p.{seg} = s.{seg}),
-o AS (SELECT *, length(content) * (at - s0) DIV (s1 - s0) AS c0, length(content) * (nxt - s0) DIV (s1 - s0) AS c1 FROM c)
-SELECT {key}, {seg}, at AS start_ms, nxt AS end_ms, trim(substring(content, CAST(c0 AS INT) + 1, CAST(c1 - c0 AS INT))) AS content FROM o
-WHERE nxt - at >= {least_ms} AND length(trim(substring(content, CAST(c0 AS INT) + 1, CAST(c1 - c0 AS INT)))) > 0""",
+WITH c AS (SELECT {key}, {seg}, array_sort(collect_list(at)) AS cuts FROM {{b}} GROUP BY {key}, {seg}),
+p AS (SELECT s.{key}, s.{seg}, s.content, s.start_ms AS s0, s.end_ms AS s1, posexplode(concat(array(s.start_ms), c.cuts)) AS (i, at), c.cuts
+  FROM {{s}} s JOIN c ON s.{key} = c.{key} AND s.{seg} = c.{seg}),
+o AS (SELECT *, coalesce(get(cuts, i), s1) AS nxt FROM p)
+SELECT {key}, {seg}, at AS start_ms, nxt AS end_ms, trim(substring(content, CAST(length(content) * (at - s0) DIV (s1 - s0) AS INT) + 1,
+  CAST(length(content) * (nxt - s0) DIV (s1 - s0) - length(content) * (at - s0) DIV (s1 - s0) AS INT))) AS content FROM o""",
+        b=cuts,
         s=segs,
-        t=turns,
     )
 
 
-__all__ = ["filler_form", "split_by_chars", "split_by_words", "split_by_words_snapped", "word_owners"]
+def split_by_chars(segs: DataFrame, turns: DataFrame, key: str, seg: str, least_ms: int = 200, bucket_ms: int = BUCKET_MS) -> DataFrame:
+    """Fragments of segments without words: cut at every turn that starts inside. Fragments that are blank or too short go."""
+    return char_pieces(segs, turns, key, seg, bucket_ms).where((F.col("end_ms") - F.col("start_ms") >= least_ms) & (F.length("content") > 0))
+
+
+def split_segments(
+    segs: DataFrame, words: DataFrame, turns: DataFrame, key: str, seg: str, turn: str, owner: str,
+    least_ms: int = 200, threshold_ms: int = 300, bucket_ms: int = BUCKET_MS, **refine,
+) -> tuple[DataFrame, DataFrame]:
+    """Segments cut where the speaker changes, and what was done: (rows, one row of counts).
+
+    Segments (key, seg, start_ms, end_ms, content) with two or more owners over ``threshold_ms`` are split: by their words (key, seg,
+    i, token, start_ms, end_ms), those without any by characters. A segment of which less than two fragments are left stays as it was, but
+    for a single fragment whose words have an owner, which becomes the segment's ``hint``. All others stay. ``refine``: see :func:`word_owners`.
+
+    rows: key, seg, fragment (0 for what stays), start_ms, end_ms, content, hint, how (``kept``, ``words`` or ``chars``)."""
+    n = owners_above(segs, turns, key, seg, owner, (threshold_ms,), bucket_ms)
+    crossing = n.where(F.col(f"over_{threshold_ms}") >= 2).select(key, seg)
+    timed = words.select(key, seg).distinct().withColumn("_w", F.lit(True))
+    marked = segs.join(crossing.withColumn("_c", F.lit(True)), [key, seg], "left").join(timed, [key, seg], "left")
+    marked = marked.withColumn("_how", F.when(F.col("_c").isNull(), "kept").when(F.col("_w"), "words").otherwise("chars")).drop("_c", "_w")
+    sent = words.join(marked.where("_how = 'words'").select(key, seg), [key, seg], "left_semi")
+    owned = word_owners(sent, turns, key, [key, seg, "i"], turn, owner, bucket_ms=bucket_ms, **refine)
+    by_words = word_pieces(owned, [key, seg]).select(key, seg, "fragment", "start_ms", "end_ms", "content", F.col("owner").alias("hint"))
+    chars = char_pieces(marked.where("_how = 'chars'").drop("_how"), turns, key, seg, bucket_ms)
+    numbered = F.expr(f"row_number() OVER (PARTITION BY {key}, {seg} ORDER BY start_ms) - 1").cast("long")
+    by_chars = chars.select(key, seg, numbered.alias("fragment"), "start_ms", "end_ms", "content", F.lit(None).cast("string").alias("hint"))
+    pieces = by_words.unionByName(by_chars).withColumn("_fine", (F.col("end_ms") - F.col("start_ms") >= least_ms) & (F.length("content") > 0))
+    counts = pieces.groupBy(key, seg).agg(F.count_if("_fine").alias("_n"), F.count_if(~F.col("_fine")).alias("_short"), F.max(F.when(F.col("_fine"), F.col("hint"))).alias("_hint"))
+    settled = marked.join(counts, [key, seg], "left").withColumn("_cut", F.coalesce((F.col("_n") > 1) | ((F.col("_n") == 1) & F.col("_hint").isNotNull()), F.lit(False)))
+    stay = settled.where("NOT _cut").select(key, seg, F.lit(0).cast("long").alias("fragment"), "start_ms", "end_ms", "content", F.lit(None).cast("string").alias("hint"), F.lit("kept").alias("how"))
+    cut = settled.where("_cut").select(key, seg, F.col("_how").alias("how"))
+    rows = stay.unionByName(pieces.where("_fine").drop("_fine").join(cut, [key, seg]))
+    told = settled.agg(
+        F.count("*").alias("input_segments"),
+        F.sum(F.when(F.col("_cut"), F.col("_n")).otherwise(1)).alias("output_segments"),
+        F.count_if(F.col("_cut") & (F.col("_n") > 1)).alias("segments_split"),
+        F.coalesce(F.sum(F.when(F.col("_cut") & (F.col("_n") > 1), F.col("_n"))), F.lit(0)).alias("new_segments"),
+        F.count_if((F.col("_how") == "chars") & F.col("_n").isNotNull()).alias("fallback_chars"),
+        F.coalesce(F.sum("_short"), F.lit(0)).alias("fragments_below_least"),
+    ).withColumns({"least_ms": F.lit(least_ms), "threshold_ms": F.lit(threshold_ms)} | {k: F.lit(v) for k, v in refine.items()})
+    return rows, told
+
+
+def refinements(plain: DataFrame, refined: DataFrame, keys: list[str]) -> DataFrame:
+    """How many words another way of finding owners moved."""
+    both = plain.select(*keys, F.col("owner").alias("_was")).join(refined.select(*keys, "owner"), keys)
+    return both.agg(F.count("*").alias("n_words"), F.count_if(~F.col("_was").eqNullSafe(F.col("owner"))).alias("moved"))
+
+
+__all__ = ["char_pieces", "filler_form", "refinements", "split_by_chars", "split_segments", "word_pieces", "split_by_words", "split_by_words_snapped", "word_owners"]

@@ -27,13 +27,26 @@ class Options:
     least_silence_ms: int | None = None
     names: tuple[str, ...] | None = None
     dump: str | None = None
+    resume: bool = False
+    user_context: str | None = None
+    model: str | None = None
+    proofread_model: str | None = None
+    identify_model: str | None = None
+    structure_model: str | None = None
+    redact_model: str | None = None
+    summary_model: str | None = None
+
+    def model_of(self, stage: str) -> str | None:
+        """The stage's own model, else the run's; null for stages without one."""
+        own = {"proofread": self.proofread_model, "identify": self.identify_model, "structure": self.structure_model, "safe_speech": self.redact_model, "summary": self.summary_model}
+        return own[stage] or self.model if stage in own else None
 
     def changed(self) -> list[str]:
         """Flags of what differs from the defaults; switches that are off read ``--no-x``."""
         out = []
         for f in fields(self):
             value = getattr(self, f.name)
-            if value is None or value == f.default:
+            if value is None or value == f.default or f.name in ("user_context", "redact_topics", "resume"):  # those have cells of their own, or change nothing
                 continue
             flag = f.name.replace("_", "-")
             out.append((f"--{flag}" if value else f"--no-{flag}") if isinstance(value, bool) else f"--{flag} {','.join(value) if isinstance(value, tuple) else value}")

@@ -219,10 +219,10 @@ def top2_labels(spark, d):
     return ag.top_two(_probs(spark, d), ["user_id"])
 
 
-@query("""WITH a AS (SELECT conv_id, turn % 2 AS attempt, lower(substr(text, 1, 1)) AS label, (length(text) % 100) / 100.0::DOUBLE AS prob FROM conversations WHERE turn < 2)
+@query("""WITH a AS (SELECT conv_id, turn AS attempt, role AS label, (length(text) % 100) / 100.0::DOUBLE AS prob FROM conversations)
 SELECT conv_id, arg_max(label, row(prob, -attempt)) AS label, CASE WHEN count(*) = 1 THEN 'single' WHEN count(DISTINCT label) = 1 THEN 'agree' ELSE 'disagree' END AS agreement FROM a GROUP BY conv_id""")
 def language_vote(spark, d):
-    a = tl.table(spark, d, "conversations").where("turn < 2").selectExpr("conv_id", "turn % 2 AS attempt", "lower(substr(text, 1, 1)) AS label", "(length(text) % 100) / 100.0D AS prob")
+    a = tl.table(spark, d, "conversations").selectExpr("conv_id", "turn AS attempt", "role AS label", "(length(text) % 100) / 100.0D AS prob")
     return ag.vote(a, "conv_id")
 
 
@@ -268,20 +268,20 @@ def key_mismatch(spark, d):
     return ag.key_mismatch(tl.table(spark, d, "documents"), tl.table(spark, d, "labels"), "doc_id")
 
 
-STAGES_SQL = "SELECT min(o_orderkey) AS seq, o_orderpriority AS stage, o_orderstatus AS model, count(*) AS elapsed FROM orders GROUP BY o_orderpriority, o_orderstatus"
+STAGES_SQL = "SELECT o_orderkey % 50 AS recording_id, min(o_orderkey) AS seq, o_orderpriority AS stage, o_orderstatus AS model, count(*) AS elapsed FROM orders GROUP BY o_orderkey % 50, o_orderpriority, o_orderstatus"
 
 
-@query(f"""SELECT seq, stage, elapsed, CASE WHEN row_number() OVER (PARTITION BY model ORDER BY seq) = 1 THEN model END AS model FROM ({STAGES_SQL})""")
+@query(f"""SELECT recording_id, seq, stage, elapsed, CASE WHEN row_number() OVER (PARTITION BY recording_id, model ORDER BY seq) = 1 THEN model END AS model FROM ({STAGES_SQL})""")
 def stage_by_model(spark, d):
     return ag.stages_by_model(spark.sql(STAGES_SQL.replace("FROM orders", "FROM {o}"), o=tl.table(spark, d, "orders")))
 
 
 @query("""SELECT conv_id, seq, run, min(i) AS first, max(i) AS last, count(*) AS n, max(owner) AS owner FROM (
   SELECT *, sum(CASE WHEN i > 0 AND owner IS DISTINCT FROM prev THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, seq ORDER BY i)::BIGINT AS run FROM (
-    SELECT *, lag(owner) OVER (PARTITION BY conv_id, seq ORDER BY i) AS prev FROM (SELECT conv_id, seq, i, substr(token, 1, 1) AS owner FROM words)))
+    SELECT *, lag(owner) OVER (PARTITION BY conv_id, seq ORDER BY i) AS prev FROM (SELECT conv_id, seq, i, CASE WHEN probability < 0.5 THEN token END AS owner FROM words)))
 GROUP BY conv_id, seq, run""")
 def owner_islands(spark, d):
-    w = tl.words(spark, d).selectExpr("conv_id", "seq", "i", "substr(token, 1, 1) AS owner")
+    w = tl.words(spark, d).selectExpr("conv_id", "seq", "i", "CASE WHEN probability < 0.5 THEN token END AS owner")
     return sq.islands(w, ["conv_id", "seq"], "i", "owner")
 
 
@@ -361,9 +361,9 @@ TOKENS_SQL = "list_transform(regexp_extract_all({c}, '" + tl.TOKEN.replace("'",
 @query(f"""SELECT a.conv_id, a.seq, CASE WHEN len(list_distinct(a.t || b.t)) = 0 THEN 0 ELSE len(list_intersect(a.t, b.t)) / len(list_distinct(a.t || b.t)) END AS jaccard FROM
   (SELECT conv_id, seq, {TOKENS_SQL.format(c="content")} AS t FROM utterances) a JOIN (SELECT conv_id, seq, {TOKENS_SQL.format(c="content")} AS t FROM utterances) b ON a.conv_id = b.conv_id AND b.seq = a.seq + 1""")
 def jaccard_pairs(spark, d):
-    u = _u(spark, d).select("conv_id", "seq", tx.tokens(F.col("content")).alias("t"))
-    nxt = u.select("conv_id", (F.col("seq") - 1).alias("seq"), F.col("t").alias("t2"))
-    return u.join(nxt, ["conv_id", "seq"]).select("conv_id", "seq", tx.jaccard(F.col("t"), F.col("t2")).alias("jaccard"))
+    nxt = F.expr("lead(struct(seq, t)) OVER (PARTITION BY conv_id ORDER BY seq)")
+    u = _u(spark, d).select("conv_id", "seq", tx.tokens(F.col("content")).alias("t")).withColumn("n", nxt)
+    return u.where("n.seq = seq + 1").select("conv_id", "seq", tx.jaccard(F.col("t"), F.col("n.t")).alias("jaccard"))
 
 
 def _boundary(spark, d):
@@ -377,7 +377,7 @@ def _boundary(spark, d):
 JAC = "(CASE WHEN len(list_distinct({0} || {1})) = 0 THEN 0 ELSE len(list_intersect({0}, {1})) / len(list_distinct({0} || {1})) END)"
 
 
-@query(f"""WITH u AS (SELECT conv_id, seq, start_ms, end_ms, {TOKENS_SQL.format(c="content")}[1:12] AS tok FROM utterances), t AS (SELECT * FROM u WHERE seq <= 3),
+@query(f"""WITH u AS (SELECT conv_id, seq, start_ms, end_ms, {TOKENS_SQL.format(c="content")} AS tok FROM utterances), t AS (SELECT * FROM u WHERE seq <= 3),
 h AS (SELECT conv_id, seq, start_ms - 20000 AS start_ms, end_ms - 20000 AS end_ms, tok FROM u WHERE seq >= 2),
 n AS (SELECT t.* FROM t WHERE end_ms >= (SELECT arg_max(x.end_ms, x.seq) FROM t x WHERE x.conv_id = t.conv_id) - 30000),
 m AS (SELECT h.conv_id, h.seq, max({JAC.format("h.tok", "n.tok")}) AS best FROM h JOIN n ON n.conv_id = h.conv_id WHERE len(h.tok) >= 3 GROUP BY ALL),
@@ -386,12 +386,6 @@ o AS (SELECT n.conv_id, n.seq, n.tok, h.tok AS htok FROM s JOIN h ON h.conv_id =
 p AS (SELECT conv_id FROM (SELECT conv_id, flatten(list(tok)) AS tok, any_value(htok) AS htok FROM o GROUP BY conv_id) WHERE {JAC.format("htok", "tok")} >= 0.3)
 SELECT m.conv_id, 'head' AS side, m.seq FROM m JOIN s USING (conv_id) WHERE stop IS NULL OR m.seq < stop UNION ALL SELECT conv_id, 'tail', seq FROM o WHERE conv_id IN (SELECT conv_id FROM p)""")
 def boundary_dedup(spark, d):
-    return dd.dedup_boundary(*(x.withColumn("tok", F.slice("tok", 1, 12)) for x in _boundary(spark, d)))
-
-
-# all tokens of a row, as dedup_all_chunks takes them; boundary_dedup keeps its SQL and so the first 12
-@query()
-def boundary_dedup_whole(spark, d):
     return dd.dedup_boundary(*_boundary(spark, d))
 
 
@@ -402,9 +396,10 @@ def dedup_all_chunks(spark, d):
     return dd.dedup_chunks(rows)
 
 
-EDITED = "CASE WHEN {k} % 5 = 0 THEN {t} WHEN {k} % 5 = 1 THEN upper({t}) WHEN {k} % 5 = 2 THEN replace({t}, 'e', '') WHEN {k} % 5 = 3 THEN concat({t}, ' ', {t}, ' ', {t}) ELSE '' END"
-# ASCII only, as DuckDB's levenshtein counts bytes
-HEAD_ROW = "SELECT conv_id, turn, substr(regexp_replace(text, '[^ -~]', ''), 1, 200) AS a FROM {c}"
+EDITED = "CASE WHEN {k} % 5 = 0 THEN {t} WHEN {k} % 5 = 1 THEN translate({t}, 'aeiou', 'AEIOU') WHEN {k} % 5 = 2 THEN replace({t}, 'e', '') WHEN {k} % 5 = 3 THEN concat({t}, ' ', {t}, ' ', {t}) ELSE '' END"
+# DuckDB's levenshtein counts bytes: letters beyond ASCII become control characters, one for one, which changes no distance
+BEYOND = "ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü"
+ONE_BYTE = f"translate(text, '{BEYOND}', {' || '.join(f'chr({k})' for k in [*range(1, 10), *range(11, 11 + len(BEYOND) - 9)])})"
 
 
 def _edits(spark, d):
@@ -412,25 +407,11 @@ def _edits(spark, d):
     return tl.table(spark, d, "conversations").selectExpr("conv_id", "turn", "text AS a").withColumn("b", F.expr(EDITED.format(k="(conv_id + turn)", t="a")))
 
 
-def _safety(p):
-    return p.select("conv_id", "turn", F.levenshtein("a", "b").cast("long").alias("distance"), tx.edit_is_safe(F.col("a"), F.col("b")).alias("safe"))
-
-
-@query(f"""WITH p AS (SELECT conv_id, turn, a, {EDITED.format(k="(conv_id + turn)", t="a")} AS b FROM (SELECT conv_id, turn, substr(regexp_replace(text, '[^ -~]', '', 'g'), 1, 200) AS a FROM conversations))
-SELECT conv_id, turn, levenshtein(a, b) AS distance, length(trim(b)) > 0 AND length(b) <= 2 * length(a) AND length(a) <= 2 * length(b)
+@query(f"""WITH p AS (SELECT conv_id, turn, a, {EDITED.format(k="(conv_id + turn)", t="a")} AS b FROM (SELECT conv_id, turn, {ONE_BYTE} AS a FROM conversations))
+SELECT conv_id, turn, levenshtein(a, b)::BIGINT AS distance, length(trim(b)) > 0 AND length(b) <= 2 * length(a) AND length(a) <= 2 * length(b)
   AND levenshtein(a, b) <= 0.5 * greatest(length(a), length(b)) AS safe FROM p""")
 def edit_safety(spark, d):
-    p = spark.sql(HEAD_ROW, c=tl.table(spark, d, "conversations")).withColumn("b", F.expr(EDITED.format(k="(conv_id + turn)", t="a")))
-    return _safety(p)
-
-
-ORACLES["edit_safety"] = ORACLES["edit_safety"].replace("levenshtein(a, b) AS distance", "levenshtein(a, b)::BIGINT AS distance")
-
-
-# whole texts in any script; without SQL, as DuckDB's levenshtein counts bytes. edit_safety keeps its SQL and so the first 200 ASCII characters.
-@query()
-def edit_safety_whole(spark, d):
-    return _safety(_edits(spark, d))
+    return _edits(spark, d).select("conv_id", "turn", F.levenshtein("a", "b").cast("long").alias("distance"), tx.edit_is_safe(F.col("a"), F.col("b")).alias("safe"))
 
 
 @query(r"""SELECT conv_id, turn, trim(regexp_replace(regexp_replace(lower(text), '[.,!?;:"''()—–\-«»…]', '', 'g'), '\s+', ' ', 'g')) AS norm FROM conversations""")
@@ -470,14 +451,15 @@ def snap_cuts(spark, d):
     return sp.split_by_words_snapped(_owned(spark, d, filler_tie_ms=200, deadband_ms=150), {"conv_id": "long", "seq": "long"})
 
 
-@query("""WITH s AS (SELECT user_id, seg_id, start_ms, end_ms, 'the quick brown fox jumps over the lazy dog and runs away' AS content FROM segs),
+@query("""WITH s AS (SELECT user_id, seg_id, start_ms, end_ms, d.text AS content FROM segs JOIN documents d ON d.doc_id = seg_id % 100),
 b AS (SELECT DISTINCT user_id, seg_id, t.start_ms AS p_at FROM s JOIN turns t USING (user_id) WHERE t.start_ms > s.start_ms AND t.start_ms < s.end_ms),
 p AS (SELECT * FROM b UNION ALL SELECT user_id, seg_id, start_ms FROM s WHERE (user_id, seg_id) IN (SELECT (user_id, seg_id) FROM b)),
 c AS (SELECT p.*, content, start_ms AS s0, end_ms AS s1, coalesce(lead(p_at) OVER (PARTITION BY user_id, seg_id ORDER BY p_at), end_ms) AS nxt FROM p JOIN s USING (user_id, seg_id)),
 o AS (SELECT *, length(content) * (p_at - s0) // (s1 - s0) AS c0, length(content) * (nxt - s0) // (s1 - s0) AS c1 FROM c)
 SELECT user_id, seg_id, p_at AS start_ms, nxt AS end_ms, trim(substr(content, c0 + 1, c1 - c0)) AS content FROM o WHERE nxt - p_at >= 200 AND trim(substr(content, c0 + 1, c1 - c0)) <> ''""")
 def char_split(spark, d):
-    segs = tl.segs(spark, d).withColumn("content", F.lit("the quick brown fox jumps over the lazy dog and runs away"))
+    docs = tl.table(spark, d, "documents").select(F.col("doc_id").alias("_d"), F.col("text").alias("content"))
+    segs = tl.segs(spark, d).withColumn("_d", F.expr("seg_id % 100")).join(docs, "_d").drop("_d")
     return sp.split_by_chars(segs, tl.turns(spark, d), "user_id", "seg_id")
 
 
@@ -576,7 +558,7 @@ def token_diff(spark, d):
 
 
 @query("""SELECT conv_id, seq, string_agg(l, chr(10) ORDER BY s) FILTER (WHERE s < seq) AS before, string_agg(l, chr(10) ORDER BY s) FILTER (WHERE s > seq) AS after FROM (
-  SELECT a.conv_id, a.seq, b.seq AS s, '[' || coalesce(b.speaker, '?') || '] ' || b.content AS l FROM
+  SELECT a.conv_id, a.seq, b.seq AS s, coalesce('[' || b.speaker || '] ', '') || b.content AS l FROM
     (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY seq) AS r FROM utterances) a JOIN (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY seq) AS r FROM utterances) b
     ON a.conv_id = b.conv_id AND abs(a.r - b.r) <= 2) GROUP BY conv_id, seq""")
 def neighbour_context(spark, d):
@@ -605,17 +587,19 @@ def proofread_rules(spark, d):
 def proofread_feedback(spark, d):
     from .providers import proofread_in_order, rules
 
-    return proofread_in_order(_u(spark, d), rules((r"(?s).*Text: ", ""), ("the ", "The ")))
+    # of a labelled request the model gives back the current part, edited
+    return proofread_in_order(_u(spark, d), rules((r"(?s).*\[CURRENT SEGMENT — fix this one only\]\n(.*?)(?:\n\n\[CONTEXT AFTER.*)?$", r"\1"), ("the ", "The ")))
 
 
-@query("""SELECT conv_id, CASE WHEN conv_id % 2 = 0 THEN 'A' ELSE 'Conversation' END AS title, min(start_ms) AS start_ms, max(end_ms) AS end_ms FROM utterances WHERE speaker IS NOT NULL AND conv_id % 2 = 1 GROUP BY conv_id
-UNION ALL SELECT conv_id, 'A', min(start_ms), min(start_ms) + 1 FROM utterances WHERE speaker IS NOT NULL AND conv_id % 2 = 0 GROUP BY conv_id
-UNION ALL SELECT conv_id, 'B', min(start_ms) + 1, max(end_ms) FROM utterances WHERE speaker IS NOT NULL AND conv_id % 2 = 0 GROUP BY conv_id""")
+@query("""WITH t AS (SELECT conv_id, arg_min(start_ms, seq) AS a, arg_max(end_ms, seq) AS b FROM utterances WHERE speaker IS NOT NULL GROUP BY conv_id),
+w AS (SELECT conv_id, arg_min(start_ms, seq) AS a, arg_max(end_ms, seq) AS b FROM utterances GROUP BY conv_id)
+SELECT conv_id, 'Conversation' AS title, w.a AS start_ms, w.b AS end_ms FROM t JOIN w USING (conv_id) WHERE conv_id % 2 = 1
+UNION ALL SELECT conv_id, 'A', a, a + 1 FROM t WHERE conv_id % 2 = 0 UNION ALL SELECT conv_id, 'B', a + 1, b FROM t WHERE conv_id % 2 = 0""")
 def structure_sections(spark, d):
     from .providers import structure
 
     u = _u(spark, d)
-    talk = u.where("speaker IS NOT NULL").groupBy("conv_id").agg(F.min("start_ms").alias("a"), F.max("end_ms").alias("b"))
+    talk = u.where("speaker IS NOT NULL").groupBy("conv_id").agg(F.min_by("start_ms", "seq").alias("a"), F.max_by("end_ms", "seq").alias("b"))
     # the reply travels in front of the text, so that a provider without a model can give it back; odd recordings get a broken one
     reply = F.when(F.col("conv_id") % 2 == 0, F.format_string('{"sections":[{"title":"A","start_ms":%d,"end_ms":%d},{"title":"B","start_ms":%d,"end_ms":%d}]}', "a", F.col("a") + 1, F.col("a") + 1, "b")).otherwise("no")
     told = u.join(talk.select("conv_id", reply.alias("r")), "conv_id").withColumn("content", F.concat("r", F.lit("\x1f"), "content"))
@@ -626,13 +610,6 @@ def structure_sections(spark, d):
     return structure(told, echo, language="en")
 
 
-@query()
-def render_markdown(spark, d):
-    from .render import render
-
-    return render(tl.muted(spark, d), tl.sections(spark, d))
-
-
 @query("""SELECT user_id, arg_max(event_type, row(n, -f)) AS event_type, max(n) AS votes FROM (
   SELECT user_id, event_type, count(*) AS n, min(event_id) AS f FROM events GROUP BY user_id, event_type) GROUP BY user_id""")
 def majority_vote(spark, d):

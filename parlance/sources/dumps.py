@@ -24,6 +24,33 @@ def write_stage(df: DataFrame, root: str | None, stage: str, form: str = "parque
     return df.sparkSession.read.format(form).schema(df.schema).load(path)
 
 
+def read_stage(spark: SparkSession, root: str | None, stage: str, form: str = "parquet") -> DataFrame | None:
+    """A stage's rows that an earlier run wrote completely; null if there are none."""
+    if root is None:
+        return None
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{stage_path(root, stage)}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        return None
+    return spark.read.format(form).load(stage_path(root, stage))
+
+
+def write_text(df: DataFrame, root: str | None, stage: str, key: str = "recording_id") -> None:
+    """A stage's rows (key, one other column of any kind) as text, a folder for each recording; without a root nothing happens."""
+    if root is not None:
+        (value,) = [c for c in df.columns if c != key]
+        rows = df.select(key, F.col(value).cast("string").alias("value"))
+        rows.write.mode("overwrite").partitionBy(key).text(f"{stage_path(root, stage)}-text")
+
+
+def write_binary(df: DataFrame, root: str | None, stage: str, key: str = "recording_id") -> DataFrame:
+    """A stage's bytes (key, content) as they are, in Parquet, which keeps them apart whatever they hold."""
+    return write_stage(df.select(key, F.col("content").cast("binary").alias("content")), root, stage)
+
+
+# Between these lines machines find a report's numbers.
+SUMMARY_START, SUMMARY_END = "===SUMMARY START===", "===SUMMARY END==="
+
+
 def read_asr(spark: SparkSession, path: str) -> DataFrame:
     """Segments of JSON arrays (one file each), ordered by start, numbered."""
     rows = spark.read.option("multiLine", True).schema("start double, end double, text string, content string").json(path).select("*", F.col("_metadata.file_path").alias("path"))

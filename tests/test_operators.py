@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from parlance.functions import dsp, timefmt
 from parlance.functions import text as tx
 from parlance.operators import aggregates as ag
-from parlance.operators import dedup, intervals, redact, sequences, splits
-from parlance.plans import options, providers, render
+from parlance.operators import dedup, evaluation, intervals, redact, segments, sequences, splits
+from parlance.plans import options, providers, render, run
 from parlance.sources import audio, dumps, prompts
 
 U = "conv_id long, seq long, speaker string, content string, start_ms long, end_ms long"
@@ -277,6 +277,16 @@ def test_dereverb_keeps_length_and_lowers_tails():
     assert len(y) == len(x) and stats["turn_count"] == 1 and dsp.rms(y[dsp.RATE // 2 :]) < dsp.rms(x[dsp.RATE // 2 :])
 
 
+def test_levels_around_a_cut(spark):
+    x = tone([0.1, 0.4])
+    before, after = dsp.around(x, 1.0)
+    assert abs(before - 0.1 / 2**0.5) < 1e-3 and abs(after - 0.4 / 2**0.5) < 1e-3 and dsp.around(x, 0.0)[0] == 0.0 and dsp.around(x, 9.0) == (0.0, 0.0)
+    rec = spark.createDataFrame([("r", bytearray(dsp.write_wav(x)))], "recording_id string, content binary")
+    got = dsp.levels_around(rec, spark.createDataFrame([("r", 1, 1000), ("r", 0, 0)], "recording_id string, boundary long, cutoff_ms long")).collect()
+    assert [(r["boundary"], round(r["rms_before"], 3), round(r["rms_after"], 3)) for r in got] == [(0, 0.0, 0.071), (1, 0.071, 0.283)]
+    assert len(dsp.slices(x, [(1.5, 2.0), (0.0, 0.25)])) == 12_000 and len(dsp.slices(x, [])) == 0
+
+
 def test_audio_options():
     for bad in ({"chain": ("echo",)}, {"chain": ("autogain", "autogain")}, {"low_hz": 6000.0}, {"rt60_floor_ms": 0.0}, {"q": 0.0}):
         with pytest.raises(dsp.AudioError):
@@ -339,8 +349,18 @@ def test_providers(spark):
     assert providers.redact_stage(u, s, reply, topics=[]).count() == 3
     named = providers.identify(u, lambda: lambda t: '{"name":"Ann","confidence":"high"}').collect()
     assert [(r["speaker"], r["name"]) for r in named] == [("A", "Ann")]
-    many = spark.createDataFrame([(1, i, f"s{i}") for i in range(9)], "conv_id long, seq long, content string")
-    assert providers.summarise(many, lambda: lambda t: t.replace("\n\n", "+")).first()["summary"] == "+".join(f"s{i}" for i in range(9))
+    many = spark.createDataFrame([(1, i, "T", f"s{i}") for i in range(9)] + [(2, 0, "T", "alone")], "conv_id long, seq long, title string, content string")
+    # every call joins what it is given; blocks have a heading each
+    plain = lambda: lambda t: "## TL;DR\n\n" + "+".join(x for x in t.split("\n") if x and not x.startswith("#"))
+    got = {r["conv_id"]: r["summary"] for r in providers.summarise(many, plain).collect()}
+    assert got == {1: "+".join(f"s{i}" for i in range(9)), 2: "alone"}
+
+    def absent():
+        return str
+
+    absent.health_check = lambda: (_ for _ in ()).throw(FileNotFoundError("model"))
+    with pytest.raises(providers.ProviderError):
+        providers.proofread(u, absent)
     text = render.render(u, s).first()["markdown"]
     assert "## T" in text and "🔵 **A:** teh long sentence" in text
 
@@ -352,6 +372,88 @@ def test_options():
     assert options.names(None) is None and options.names(" ") == ()
 
 
+def test_utc_minutes_in_any_session_zone(spark):
+    v = lambda c: value(spark, c)
+    was = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "Europe/Berlin", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            for text, want in (("2024-01-01T12:00:00Z", "2024-01-01 12:00 UTC"), ("2024-03-31T02:30:00", "2024-03-31 02:30 UTC"), ("2024-07-01T12:00:00+02:00", "2024-07-01 10:00 UTC"), ("2024-07-01", "2024-07-01 00:00 UTC"), ("soon", "soon")):
+                assert v(timefmt.utc_minute(F.lit(text))) == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", was)
+
+
+def test_edits_of_one_row_are_judged_as_columns_are(spark):
+    r = random.Random(4)
+    pairs = [("".join(r.choices("ab ё", k=r.randint(0, 9))), "".join(r.choices("ab ё'\"`", k=r.randint(0, 9)))) for _ in range(300)]
+    df = spark.createDataFrame(pairs, "a string, b string").select("a", "b", tx.edit_is_safe(F.col("a"), F.col("b")).alias("safe"), tx.strip_artifacts(F.col("b")).alias("bare"))
+    for x in df.collect():
+        assert x["safe"] == tx.is_safe(x["a"], x["b"]) and x["bare"] == tx.without_artifacts(x["b"])
+
+
+def test_topics_and_models(spark):
+    assert tx.topic_labels(["health", "x"], "EN") == "health, x" and tx.topic_labels(["x"], "uk") == "- x"
+    got = [value(spark, tx.short_model_name(F.lit(x))) for x in ("org/name", "org/a/b", "/models/org/name", "./x/", "~/y", "bare")]
+    assert got == ["name", "a/b", "name", "x", "y", "bare"]
+    assert options.Options(model="m", structure_model="s").model_of("structure") == "s" and options.Options(model="m").model_of("summary") == "m" and options.Options(model="m").model_of("merge") is None
+
+
+def test_evaluation(spark):
+    assert evaluation.parse_grid("0, 3,") == [0, 3]
+    for bad in ("", " , ", "-1", "x"):
+        with pytest.raises(ValueError):
+            evaluation.parse_grid(bad)
+    rows = spark.createDataFrame([(0, 480.0, "clean", 0.5, float("nan"), 0.1, None, "a|b\nc")], "boundary long, cutoff_s double, verdict string, gap_s double, jaccard double, rms_before double, rms_after double, note string")
+    assert evaluation.boundary_rows(rows).first()["line"] == "| 0 | 08:00.00 | clean | 0.50 |  | 0.1000 |  | a\\|b c |"
+    sheet = spark.createDataFrame([(1, 7, 0.0, 61.5, None, "a", "b"), (1, 9, 2.0, 3.0, "S", "c", "d")], "sheet_id long, segment_idx int, start_s double, end_s double, speaker string, asr_text string, proofread_text string")
+    text = evaluation.spot_check(sheet, "# Spot-check").withColumn("text", F.regexp_replace("text", r"(?s)(Segment 9.*?)\[ \] worse", "$1[x] worse"))
+    assert "timestamp 00:00.00-01:01.50 (speaker: ?)" in text.first()["text"]
+    assert [(r["segment_idx"], r["mark"]) for r in segments.human_marks(text).orderBy("segment_idx").collect()] == [(7, None), (9, "worse")]
+
+
+def test_structure_of_long_recordings(spark):
+    rows = [(1, i, f"S{i % 2}", f"row {i}", 1000 * i, 1000 * i + 900) for i in range(70)] + [(2, 0, None, "noise", 0, 500), (2, 1, "A", "hi there", 500, 900), (2, 2, None, "end", 900, 5000), (3, 0, None, "x", 0, 1)]
+    u = spark.createDataFrame(rows, U)
+
+    def model():
+        def run(text):
+            at = [int(x[1:9].split(":")[0]) * 3600 + int(x[4:6]) * 60 + int(x[7:9]) for x in text.split("\n") if "pause" not in x]
+            return '{"sections":[{"title":"T%d","start_ms":%d,"end_ms":%d}]}' % (at[0], at[0] * 1000, at[-1] * 1000 + 900) if len(at) > 2 else "{}"
+
+        return run
+
+    got = [(r["conv_id"], r["title"], r["start_ms"], r["end_ms"]) for r in providers.structure(u, model).orderBy("conv_id", "start_ms").collect()]
+    assert got == [(1, "T0", 0, 34_900), (1, "T33", 34_900, 67_900), (1, "T66", 67_900, 69_900), (2, "Розмова", 0, 5000)]
+    assert providers.structure(u, None, language="en").count() == 2
+
+
+def test_a_whole_run(spark, tmp_path):
+    rec = spark.createDataFrame([(1, "/in/a.wav", "2024-01-01T00:00:00Z", 30.0), (2, "/in/b.wav", "?", 10.0)], "conv_id long, path string, started_at string, duration_s double")
+    turns = spark.createDataFrame([(1, 0, "A", 0, 4000), (1, 1, "B", 4000, 9000), (2, 0, "A", 0, 5000)], "conv_id long, turn_id long, label string, start_ms long, end_ms long")
+    segs = spark.createDataFrame([(1, 0, 0, 8000, "one two three four"), (1, 1, 8200, 9000, "teh end of this"), (2, 0, 100, 4000, "my name is Eve")], "conv_id long, seq long, start_ms long, end_ms long, content string")
+    words = spark.createDataFrame([(1, 0, i, w, 2000 * i, 2000 * i + 1900, 0.9) for i, w in enumerate("one two three four".split())], "conv_id long, seq long, i int, token string, start_ms long, end_ms long, probability double")
+    inputs = run.Inputs(rec, turns, segs, words)
+    opts = options.Options(proofread=True, names=("Ann", "Bob"), dump=str(tmp_path / "out"), redact_topics=("health",), model="org/m-1", user_context="a test")
+    known = {
+        "language": lambda: lambda t: '{"en": 0.9, "uk": 0.1}',
+        "proofread": lambda: lambda t: (t.split("fix this one only]\n")[-1].split("\n\n[CONTEXT")[0]).replace("teh", "the"),
+        "redact": lambda: lambda t: '{"redactions":[{"start_idx":0,"end_idx":0,"topic":"health"}]}' if "Eve" in t else "{}",
+        "summary": lambda: lambda t: "TL of " + str(t.count(":")),
+    }
+    out = run.run(inputs, opts, known)
+    assert [(r["conv_id"], r["seq"], r["speaker"], r["content"]) for r in out.tables["merge"].orderBy("conv_id", "seq").collect()] == [(1, 0, "A", "one two"), (1, 1, "B", "three four"), (1, 2, "B", "teh end of this"), (2, 0, "A", "my name is Eve")]
+    docs = {r["conv_id"]: r["markdown"] for r in out.tables["render"].collect()}
+    assert docs[1].startswith("# Transcript: a.wav\n\n> | | |\n> | --- | --- |\n> | 📅 **Started (duration):** | 2024-01-01 00:00 UTC (30s) |\n> | 🌐 **Language:** | en (auto-detected=0.90, uk=0.10")
+    for part in ("> | 🔵 **Ann** | *user-specified* |", "| `m-1` | model loaded | 0s |", "| `--proofread` | — |", "💡 **Context:** | a test |", "## TL;DR\n\nTL of 3\n\n---\n\n## Розмова\n\n🔵 **Ann:** one two\n\n🟢 **Bob:** three four the end of this\n"):
+        assert part in docs[1], part
+    assert "Eve" not in docs[2]
+    again = run.run(inputs, options.Options(**{**opts.__dict__, "resume": True}), {k: lambda: (lambda t: 1 / 0) for k in known})
+    assert {r["conv_id"]: r["markdown"] for r in again.tables["render"].collect()} == docs
+    plain = run.run(inputs, options.Options(split_on_turns=False, language="en"))
+    assert [r["speaker"] for r in plain.tables["merge"].orderBy("conv_id", "seq").collect()] == ["A", "B", "A"] and plain.tables["structure"].count() == 2
+
+
 def test_empty_tables(spark):
     u, t = spark.createDataFrame([], U), spark.createDataFrame([], T)
     assert sequences.paragraphs(u).count() == sequences.silence_events(u).count() == sequences.pause_markers(u).count() == 0

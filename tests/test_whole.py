@@ -16,7 +16,7 @@ def conversations(spark, folder, rows):
 
 
 def edited(k, t):
-    return [t, t.upper(), t.replace("e", ""), f"{t} {t} {t}", ""][k % 5]
+    return [t, t.translate(str.maketrans("aeiou", "AEIOU")), t.replace("e", ""), f"{t} {t} {t}", ""][k % 5]
 
 
 def distance(a, b):
@@ -35,7 +35,7 @@ LONG = "abc " * 60 + "the bee sees élé теще the end"
 def test_edits_are_judged_on_whole_texts(spark, tmp_path):
     texts = {(c, t): [LONG, "é", "one e", "теще e e e", "e" * 300][t] for c in range(5) for t in range(5)}
     d = conversations(spark, tmp_path, [(c, t, "user", x) for (c, t), x in texts.items()])
-    got = {(r["conv_id"], r["turn"]): (r["distance"], r["safe"]) for r in q.QUERIES["edit_safety_whole"](spark, d).collect()}
+    got = {(r["conv_id"], r["turn"]): (r["distance"], r["safe"]) for r in q.QUERIES["edit_safety"](spark, d).collect()}
     want = {}
     for (c, t), a in texts.items():
         b = edited(c + t, a)
@@ -79,4 +79,4 @@ def test_boundary_dedup_takes_all_tokens(spark, tmp_path):
         return sorted(out)
 
     assert dropped(12) != dropped(None)  # the first 12 tokens give other rows
-    assert sorted(map(tuple, q.QUERIES["boundary_dedup_whole"](spark, d).collect())) == dropped(None)
+    assert sorted(map(tuple, q.QUERIES["boundary_dedup"](spark, d).collect())) == dropped(None)
