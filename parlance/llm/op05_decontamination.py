@@ -91,15 +91,19 @@ def candidates(docs: DataFrame, items: DataFrame, key: str, percent: int = PERCE
 
 
 def leaks(
-    docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, broadcast_rows: int = 200_000, width: int = WIDTH, key: str = "doc_id", broadcast_ids: int = 1_000_000, salts: int = 32
-) -> DataFrame:
-    """Pairs (key, item_id, n_item, n_found, containment) with containment of at least ``percent``."""
+    docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, broadcast_rows: int = 200_000, width: int = WIDTH, key: str = "doc_id", broadcast_ids: int = 1_000_000, salts: int = 32,
+    same_text: bool = False,
+) -> DataFrame:
+    """Pairs (key, item_id, n_item, n_found, containment) with containment of at least ``percent``.
+
+    ``same_text`` says that rows of one key have one text, so that a candidate's text is confirmed once."""
     docs, items = docs.select(key, "text"), written(item_sets(benchmark.select("item_id", "text"), width), "op5-items")
     # written, so that its size is known before the documents are read again
     pairs = written(candidates(docs, items, key, percent, broadcast_rows, salts), "op5-pairs")
     ids = written(pairs.select(key).distinct(), "op5-ids")
     few = ids.limit(broadcast_ids + 1).count() <= broadcast_ids
-    texts = written(docs.join(F.broadcast(ids) if few else ids.hint("merge"), key, "left_semi"), "op5-texts")
+    texts = docs.join(F.broadcast(ids) if few else ids.hint("merge"), key, "left_semi")
+    texts = written(texts.dropDuplicates([key]) if same_text else texts, "op5-texts")
     found = pairs.join(texts.hint("merge"), key)
     wanted = items.select("item_id", "width", "n", "item")
     if (items.agg(F.sum("n").alias("n")).first()["n"] or 0) <= broadcast_rows:
@@ -122,11 +126,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that leak no benchmark item. Goes by the text's digest, so equal texts are searched once and a document
-    without an id is judged too."""
-    keyed = docs.select(F.md5(F.encode("text", "UTF-8")).alias("__digest"), "text").dropDuplicates(["__digest"])
-    found = leaks(keyed, load(spark, sf_dir, "benchmark"), key="__digest").select("__digest").distinct()
-    return docs.withColumn("__digest", F.md5(F.encode("text", "UTF-8"))).join(found, "__digest", "left_anti").select(*docs.columns)
+    """Pipeline stage: documents that leak no benchmark item. Goes by the text's digest, so a text is confirmed once, however often it occurs,
+    and a document without an id is judged too."""
+    digest = F.md5(F.encode("text", "UTF-8")).alias("__digest")
+    found = leaks(docs.select(digest, "text"), load(spark, sf_dir, "benchmark"), key="__digest", same_text=True).select("__digest").distinct()
+    return docs.withColumn("__digest", digest).join(found, "__digest", "left_anti").select(*docs.columns)
 
 
 def leaks_sql(docs: str, benchmark: str = "benchmark") -> str:

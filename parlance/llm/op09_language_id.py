@@ -37,7 +37,7 @@ DIMENSIONS, N, SEED, SHARPNESS = 1024, 3, 7, 40.0
 ALPHABET = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿßœš"
 BITS = 12
 CODES = 1 << BITS
-BLOCK, TEXTS, CHARS = 8192, 256, 1 << 22
+BLOCK, TEXTS, CHARS = 4096, 256, 1 << 21
 UNKNOWN = "und"
 PER_LANGUAGE, LANGUAGES = 5_000, 2_000
 

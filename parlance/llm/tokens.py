@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import os
 
-CACHE_WORDS = 350_000
+CACHE_WORDS = 280_000
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
 #: What the tokenizer's own pre-tokenizer matches, on lower-cased Latin-1.
 LETTERS = "a-zªµºß-öø-ÿ"
