@@ -74,6 +74,19 @@ def id_out(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, F.when(F.col(name) != NULL_ID, F.col(name)))
 
 
+def trim() -> None:
+    """Gives back memory that a Python worker has freed but holds: workers are reused, and each stage would add to what the last one left."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_in, id_out, load, written
+from .common import id_in, id_out, load, trim, written
 from .graph import components
 
 NAME = "op1_minhash_forest"
@@ -123,6 +123,8 @@ def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 digest.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 sig.append(minima(s).astype(">u2").tobytes() if len(s) else None)
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_shingles": n, "digest": digest, "sig": sig})
+        del shingle
+        trim()
 
     return id_out(docs.select(id_in("doc_id"), "text").mapInPandas(run, "doc_id long, n_shingles long, digest binary, sig binary"), "doc_id")
 
@@ -416,6 +418,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
                 elif similar(own, sets, percent).any():
                     links.append((min(hub, v), max(hub, v)))
             yield pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+        del shingle, sets
+        trim()
 
     return written(rows.mapInPandas(run, "a long, b long").distinct(), "op1-links")
 

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load
+from .common import load, trim
 
 NAME = "op9_language_id"
 DIMENSIONS, N, SEED, SHARPNESS = 1024, 3, 7, 40.0
@@ -162,6 +162,7 @@ def learn(texts: DataFrame, text: str = "text", lang: str = "lang") -> Profiles:
             if len(sums) > 64:  # bounded however many languages there are
                 yield from drained()
         yield from drained()
+        trim()
 
     usable = texts.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     summed = usable.mapInPandas(add, "lang string, place int, n long").groupBy("lang", "place").agg(F.sum("n").alias("n")).toPandas()
@@ -178,6 +179,7 @@ def identify(df: DataFrame, profiles: Profiles, text: str = "text") -> DataFrame
         for texts in batches:
             langs, scores, cosines = profiles.score(texts.tolist())
             yield pd.DataFrame({"lang_pred": langs, "score": scores, "cosine": cosines})
+        trim()
 
     judged = df.select(F.struct(*kept).alias("row"), predict(text).alias("p"))
     return judged.select(*[F.col(f"row.`{c}`") for c in kept], "p.lang_pred", "p.score", "p.cosine")

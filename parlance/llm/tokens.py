@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import os
 
+from .common import trim
+
 CACHE_WORDS = 280_000
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
 #: What the tokenizer's own pre-tokenizer matches, on lower-cased Latin-1.
@@ -132,11 +134,12 @@ class Encoder:
         return out
 
 
-_encoders: dict[str | None, Encoder] = {}
+_encoders: dict[tuple[str | None, int], Encoder] = {}
 
 
-def encoder(path: str | None = None) -> Encoder:
-    """One encoder for each worker process."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str | None = None, cache_words: int = CACHE_WORDS) -> Encoder:
+    """One encoder for each worker process and size of its caches."""
+    trim()
+    if (path, cache_words) not in _encoders:
+        _encoders[path, cache_words] = Encoder(path, cache_words)
+    return _encoders[path, cache_words]
