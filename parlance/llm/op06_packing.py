@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import id_in, id_out, load, trim, written
-from .tokens import CACHE_WORDS, encoder
+from .tokens import encoder
 
 NAME = "op6_packing"
 CAPACITY, END_ID, CLASSES, WASTE, GROUP_ROWS = 2048, 1, 32, 0.03, 512
@@ -99,24 +99,23 @@ def neighbours(bin_class: int, classes: int = CLASSES) -> int:
     return max(2, GROUP_ROWS // (bin_class if bin_class < classes else 4 * classes))
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str | None = None, cache_words: int = CACHE_WORDS) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str | None = None) -> DataFrame:
     """One row per piece of ``docs`` (doc_id, text); see the module's docstring."""
 
     def first_round(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part = TaskContext.get().partitionId()
         bins = Bins(part << 36, capacity)
         end = int(end_id).to_bytes(4, "little")
-        encode = encoder(tokenizer, cache_words).encode
+        encode = encoder(tokenizer).encode
         for pdf in batches:
-            for a in range(0, len(pdf), 256):
-                rows = pdf.iloc[a : a + 256]
-                for doc_id, ids in zip(rows["doc_id"].tolist(), encode(rows["text"].tolist()), strict=True):
-                    ids += end
-                    n = len(ids) // 4
-                    for start, length, k in pieces(n, capacity):
-                        bins.add(k, (doc_id, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), n))
-                if a % 2048 == 0:
+            for doc_id, ids in zip(pdf["doc_id"].tolist(), encode(pdf["text"]), strict=True):
+                ids += end
+                n = len(ids) // 4
+                for start, length, k in pieces(n, capacity):
+                    bins.add(k, (doc_id, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), n))
+                if len(bins.done) >= 20_000:
                     yield frame(bins.take(), part)
+            yield frame(bins.take(), part)
         yield frame(bins.take() + bins.left(), part)
         trim()
 
@@ -170,5 +169,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage, the last: the pieces of all documents that came this far."""
-    # smaller caches of ids: the workers also did the earlier stages
-    return pack(docs.select("doc_id", "text"), cache_words=200_000)
+    return pack(docs.select("doc_id", "text"))

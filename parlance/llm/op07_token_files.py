@@ -89,14 +89,12 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = END_ID, tokenize
         with fs.open_output_stream(temporary) as out:
             out.write(HEAD + bytes.fromhex(digest))
             for pdf in batches:
-                for a in range(0, len(pdf), 256):
-                    part = pdf.iloc[a : a + 256]
-                    for doc_id, ids in zip(part["doc_id"].tolist(), encode(part["text"].tolist()), strict=True):
-                        ids += end
-                        frame = packer.compress(ids)
-                        out.write(frame)
-                        index.append((doc_id, at, len(frame), len(ids) // 4))
-                        at, total = at + len(frame), total + len(ids) // 4
+                for doc_id, ids in zip(pdf["doc_id"].tolist(), encode(pdf["text"]), strict=True):
+                    ids += end
+                    frame = packer.compress(ids)
+                    out.write(frame)
+                    index.append((doc_id, at, len(frame), len(ids) // 4))
+                    at, total = at + len(frame), total + len(ids) // 4
             out.write(np.array(index, "<i8").reshape(-1, 4).tobytes() + len(index).to_bytes(8, "little") + TAIL)
         final = f"{base}/{name}"
         if type(fs).__name__ != "LocalFileSystem" and fs.get_file_info(final).type.name != "NotFound":

@@ -78,3 +78,26 @@ def test_few_links_are_lost_where_all_rows_nearly_match(monkeypatch):
     monkeypatch.setattr(op1, "BLOCK", 64)
     sets = passage_sharers(3000, 85, 400, 1)  # any two rows have a similarity of 0.74
     assert 5 * len(links_out_of_reach(sets, 400, 1 + op1.ORDERS)) < len(links_out_of_reach(sets, 400, 1))
+
+
+def test_words_cut_here_have_the_ids_of_whole_texts(monkeypatch):
+    import random
+
+    from parlance.llm import tokens
+
+    rng = random.Random(7)
+    pools = [[chr(c) for c in range(256)], list("'stredlmvx 1,.A"), list("abcdé' \n"), list("'́aİ s日")]
+    texts = ["".join(rng.choices(rng.choice(pools), k=rng.choice([0, 1, 2, 3, 8, 40, 300]))) for _ in range(1500)]
+    texts += [None, "", "a", " ", "'", "it's we'llx ''s 'v", "<|endoftext|> a", "x" * 5000, " ".join(f"w{i}z" for i in range(3000))]
+    usual = tokens.Encoder()
+    want = usual._whole([t or "" for t in texts])
+    assert usual.fast and list(usual.encode(texts)) == want
+    monkeypatch.setattr(tokens, "GROUP_BYTES", 2000)
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 3000)
+    small = tokens.Encoder(cache_words=50)
+    assert small.fast and list(small.encode(texts)) == want
+    assert len(small.place) <= 50 or small.bytes <= 2 * 16_000  # one group's words at most
+    one_by_one = tokens.Encoder()
+    one_by_one.forget()
+    one_by_one.ends[:] = False  # words that can't be told apart in one text
+    assert list(one_by_one.encode(texts)) == want
