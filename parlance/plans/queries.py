@@ -451,15 +451,17 @@ def snap_cuts(spark, d):
     return sp.split_by_words_snapped(_owned(spark, d, filler_tie_ms=200, deadband_ms=150), {"conv_id": "long", "seq": "long"})
 
 
-@query("""WITH s AS (SELECT user_id, seg_id, start_ms, end_ms, d.text AS content FROM segs JOIN documents d ON d.doc_id = seg_id % 100),
+@query("""WITH s AS (SELECT user_id, seg_id, start_ms, end_ms, d.text AS content FROM segs JOIN documents d ON d.doc_id = seg_id % (SELECT max(doc_id) + 1 FROM documents)),
 b AS (SELECT DISTINCT user_id, seg_id, t.start_ms AS p_at FROM s JOIN turns t USING (user_id) WHERE t.start_ms > s.start_ms AND t.start_ms < s.end_ms),
 p AS (SELECT * FROM b UNION ALL SELECT user_id, seg_id, start_ms FROM s WHERE (user_id, seg_id) IN (SELECT (user_id, seg_id) FROM b)),
 c AS (SELECT p.*, content, start_ms AS s0, end_ms AS s1, coalesce(lead(p_at) OVER (PARTITION BY user_id, seg_id ORDER BY p_at), end_ms) AS nxt FROM p JOIN s USING (user_id, seg_id)),
 o AS (SELECT *, length(content) * (p_at - s0) // (s1 - s0) AS c0, length(content) * (nxt - s0) // (s1 - s0) AS c1 FROM c)
 SELECT user_id, seg_id, p_at AS start_ms, nxt AS end_ms, trim(substr(content, c0 + 1, c1 - c0)) AS content FROM o WHERE nxt - p_at >= 200 AND trim(substr(content, c0 + 1, c1 - c0)) <> ''""")
 def char_split(spark, d):
-    docs = tl.table(spark, d, "documents").select(F.col("doc_id").alias("_d"), F.col("text").alias("content"))
-    segs = tl.segs(spark, d).withColumn("_d", F.expr("seg_id % 100")).join(docs, "_d").drop("_d")
+    # all documents in turn
+    docs = tl.table(spark, d, "documents")
+    segs = spark.sql("SELECT *, seg_id % (SELECT max(doc_id) + 1 FROM {d}) AS _d FROM {s}", s=tl.segs(spark, d), d=docs)
+    segs = segs.join(docs.select(F.col("doc_id").alias("_d"), F.col("text").alias("content")), "_d").drop("_d")
     return sp.split_by_chars(segs, tl.turns(spark, d), "user_id", "seg_id")
 
 
