@@ -15,31 +15,33 @@ BUCKET_MS = 3_600_000
 
 
 def bucketed(df: DataFrame, start: str, end: str, bucket_ms: int) -> DataFrame:
-    last = F.greatest(F.expr(f"({end} - 1) DIV {bucket_ms}"), F.expr(f"{start} DIV {bucket_ms}"))
-    return df.withColumn("_bucket", F.explode(F.sequence(F.expr(f"{start} DIV {bucket_ms}"), last)))
+    first = F.floor(F.col(start) / bucket_ms)  # DIV would cut towards zero, and times may lie before 1970
+    return df.withColumn("_bucket", F.explode(F.sequence(first, F.greatest(F.floor((F.col(end) - 1) / bucket_ms), first))))
 
 
-def overlap_join(left: DataFrame, right: DataFrame, key: str, bucket_ms: int = BUCKET_MS, start: str = "start_ms", end: str = "end_ms") -> DataFrame:
-    """Pairs with a positive overlap; the right side's columns get ``r_`` in front; adds ``overlap_ms``."""
+def overlap_join(left: DataFrame, right: DataFrame, key: str, bucket_ms: int = BUCKET_MS, start: str = "start_ms", end: str = "end_ms", empty: bool = False) -> DataFrame:
+    """Pairs with a positive overlap; the right side's columns get ``r_`` in front; adds ``overlap_ms``.
+
+    With ``empty``, also pairs of which one has no length and lies strictly inside the other: their overlap is 0."""
     renamed = right.select(F.col(key), *[F.col(c).alias(f"r_{c}") for c in right.columns if c != key])
     pairs = bucketed(left, start, end, bucket_ms).join(
         bucketed(renamed, f"r_{start}", f"r_{end}", bucket_ms), [key, "_bucket"]
     )
     later = F.greatest(start, f"r_{start}")
-    return (
+    out = (
         pairs.where((F.col(start) < F.col(f"r_{end}")) & (F.col(end) > F.col(f"r_{start}")))
         .where(F.col("_bucket") == F.floor(later / bucket_ms))
         .withColumn("overlap_ms", F.least(end, f"r_{end}") - later)
-        .where("overlap_ms > 0")
         .drop("_bucket")
     )
+    return out if empty else out.where("overlap_ms > 0")
 
 
-def max_overlap_owner(segs: DataFrame, turns: DataFrame, key: str, seg: str, turn: str, owner: str, bucket_ms: int = BUCKET_MS, hint: str | None = None) -> DataFrame:
+def max_overlap_owner(segs: DataFrame, turns: DataFrame, key: str, seg: str, turn: str, owner: str, bucket_ms: int = BUCKET_MS, hint: str | None = None, empty: bool = False) -> DataFrame:
     """Every segment with the owner of the largest summed overlap (null if none); ties go to the owner whose turn came first.
 
-    A non-null column ``hint`` of the segments wins outright."""
-    pairs = overlap_join(segs.select(key, seg, "start_ms", "end_ms"), turns, key, bucket_ms)
+    A non-null column ``hint`` of the segments wins outright. With ``empty``, turns without length count as :func:`overlap_join` says."""
+    pairs = overlap_join(segs.select(key, seg, "start_ms", "end_ms"), turns, key, bucket_ms, empty=empty)
     sums = pairs.groupBy(key, seg, F.col(f"r_{owner}").alias("owner")).agg(
         F.sum("overlap_ms").alias("overlap_ms"), F.min(f"r_{turn}").alias("_first")
     )

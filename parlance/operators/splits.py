@@ -101,7 +101,7 @@ def char_pieces(segs: DataFrame, turns: DataFrame, key: str, seg: str, bucket_ms
 
     Character offsets truncate. A turn's start meets segments in its time bucket."""
     inside = bucketed(segs.select(key, seg, "start_ms", "end_ms"), "start_ms", "end_ms", bucket_ms)
-    starts = turns.select(key, F.col("start_ms").alias("at"), F.expr(f"start_ms DIV {bucket_ms}").alias("_bucket"))
+    starts = turns.select(key, F.col("start_ms").alias("at"), F.floor(F.col("start_ms") / bucket_ms).alias("_bucket"))
     cuts = inside.join(starts, [key, "_bucket"]).where("at > start_ms AND at < end_ms").select(key, seg, "at").distinct()
     return segs.sparkSession.sql(
         f"""
