@@ -265,7 +265,7 @@ WITH c AS (SELECT t.{key}, t.end_ms, greatest(t.start_ms, coalesce(max(t.end_ms)
 k AS (SELECT * FROM c WHERE end_ms > start_ms)
 SELECT {key}, start_ms, end_ms, true AS gain FROM k
 UNION ALL SELECT {key}, cursor, start_ms, false FROM k WHERE start_ms > cursor
-UNION ALL SELECT a.{key}, coalesce(m, 0), total_ms, false FROM {{a}} a LEFT JOIN (SELECT {key}, max(end_ms) AS m FROM k GROUP BY {key}) b ON a.{key} = b.{key}
+UNION ALL SELECT a.{key}, coalesce(m, 0), total_ms, false FROM {{a}} a LEFT JOIN (SELECT {key}, max(end_ms) AS m FROM k GROUP BY {key}) b ON a.{key} <=> b.{key}
   WHERE total_ms > coalesce(m, 0)""",
         t=t,
         a=total,
