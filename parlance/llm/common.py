@@ -36,14 +36,14 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Cut lineage: write ``df`` as Parquet into the shared folder and read it back.
+def written(df: DataFrame, label: str, **options: str) -> DataFrame:
+    """Cut lineage: write ``df`` as Parquet into the shared folder and read it back; ``options`` are the writer's.
 
     Lost executors cost nothing afterwards, and what follows can scan the result
     more than once without running what made it again."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -676,6 +676,43 @@ def test_repeated_runs_match_brute_force():
             assert cover.tolist() == want
 
 
+def articles_of_a_host():
+    words = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    notice, passage, copied = words("notice", 12), words("passage", 12), words("copied", 40)
+    out = {}
+    for k in range(12):
+        own = words(f"own{k}x", 30)
+        out[k] = f"<nav>menu</nav><article><h1>t{k}</h1><p>{own}</p><div>{notice}</div><p>{passage}</p></article>", f"t{k}\n{own}\n{passage}"
+    for k in range(20, 24):  # near copies without paragraphs
+        out[k] = f"<article><h1>c</h1><div>{copied}</div><div>{words(f'end{k}x', 9)}</div></article><div>{notice}</div>", f"c\n{copied}\n{words(f'end{k}x', 9)}"
+    out[30] = out[31] = f"<article><h1>u</h1><div>{words('twice', 12)}</div><p>x</p></article>", f"u\n{words('twice', 12)}\nx"
+    return out
+
+
+@pytest.mark.parametrize("broadcast", [1_000_000, 0])
+def test_the_array_judges_articles_too(spark, monkeypatch, broadcast):
+    """A notice that articles of a host hold goes; passages in paragraphs, copies, and what two pages share stay."""
+    monkeypatch.setattr(op10, "SORTED", 100, raising=False)  # several buckets
+    pages = articles_of_a_host()
+    assert op10.settle([op10.blocks(page) for page, _ in pages.values()]) == [text for _, text in pages.values()]
+    rows_ = [(k, f"http://h/{k}", page) for k, (page, _) in pages.items()] + [(100 + k, f"http://g{k}/{k}", page) for k, (page, _) in pages.items()]
+    df = spark.createDataFrame(rows_, "page_id long, url string, html string").repartition(3)
+    got = {r["page_id"]: r["text"] for r in op10.extract(df, broadcast).collect()}
+    assert {k: got[k] for k in pages} == {k: text for k, (_, text) in pages.items()}
+    assert all("notice0" in got[100 + k] for k in range(12))  # hosts of one page
+    assert op10.extract(df.limit(0), broadcast).count() == 0
+
+
+def test_suffixes_travel_whole():
+    r = np.random.default_rng(1)
+    keys = r.integers(0, 2**op10.BITS, 5000, dtype=np.uint64)
+    keys, counts = op10.summed(np.r_[keys, keys[:3000], keys[:1000], keys[:500]], np.ones(9500, np.int64))
+    assert len(keys) == 5000 and sorted(set(counts)) == [1, 2, 3] and (counts == 3).sum() == 1000
+    back = op10.unpack(op10.pack(keys, counts))
+    assert (back[0] == keys).all() and (back[1] == counts).all()
+    assert [len(x) for x in op10.unpack(op10.pack(keys[:0], counts[:0]))] == [0, 0]
+
+
 def test_pages_through_spark(spark):
     rows_ = [(1, "http://h/a", PAGE), (2, None, None), (2, None, None), (3, "http://h/b", "")] + [(10 + i, "http://big/x", f"<main><p>page {i}</p></main>") for i in range(150)]
     out = op10.extract(clashing(spark.createDataFrame(rows_, "page_id long, url string, html string"))).collect()
