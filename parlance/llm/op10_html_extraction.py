@@ -51,6 +51,8 @@ RUN, PAGES = 8, 3
 SALTS = 16
 #: Bits of a suffix's hash; suffixes that a task sorts at once and that a bucket of them holds; rows of a table that Spark broadcasts.
 BITS, SORTED, NEAR = 48, 4_000_000, 1_000_000
+#: Bits of the filter that drops suffixes which are no run found, where those are too many to broadcast.
+FILTER = 28
 #: Pages that a worker takes at a time, and their characters and tokens at most (or one page).
 ROWS, CHARS, TOKENS = 500, 32_000_000, 1_000_000
 
@@ -377,6 +379,18 @@ def slices(pdf: pd.DataFrame, sizes: Iterator[int], most: int) -> Iterator[pd.Da
         yield pdf.iloc[a:]
 
 
+def filter_bits(filed: np.ndarray, keys: np.ndarray) -> None:
+    """Files keys by their lowest ``FILTER`` bits."""
+    at = keys & np.uint64(2**FILTER - 1)
+    np.bitwise_or.at(filed, at >> np.uint64(3), np.left_shift(1, at & np.uint64(7), dtype=np.uint64).astype(np.uint8))
+
+
+def may_hold(filed: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether each key was filed; true for a few others too."""
+    at = keys & np.uint64(2**FILTER - 1)
+    return (filed[at >> np.uint64(3)].astype(np.uint64) >> (at & np.uint64(7)) & np.uint64(1)).astype(bool)
+
+
 def salts_of(host: str | None) -> list[int]:
     """Of what lies outside of cores, and of cores: suffix arrays of their own."""
     import xxhash
@@ -467,17 +481,23 @@ def extract(pages: DataFrame, broadcast_keys: int = 4_000_000, core: bool = True
     counted = parsed.where("tokens > 0").join(near(later), "row", "left").select("host", "packed", "tokens", F.coalesce("again", F.lit(0)).alias("again"))
     merged = counted.mapInPandas(sort, "bucket long, packed binary").groupBy("bucket").applyInPandas(merge, "bucket long, n long, packed binary")
     hot = written(merged.where("n > 0"), "op10-runs")
-    known = None
+    known = likely = None
     if (hot.agg(F.sum("n")).first()[0] or 0) <= broadcast_keys:
         read = [unpack(bytes(r["packed"]))[0] for r in hot.select("packed").collect()]
         known = pages.sparkSession.sparkContext.broadcast(np.sort(np.concatenate([np.empty(0, np.uint64), *read])))
+    else:
+        filed = np.zeros(2**FILTER // 8, np.uint8)
+        for r in hot.select("packed").toLocalIterator():
+            filter_bits(filed, unpack(bytes(r["packed"]))[0])
+        likely = pages.sparkSession.sparkContext.broadcast(filed)
 
     def keys_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for part in slices(pdf, pdf["tokens"], TOKENS):
                 read = [Page(x) for x in part["packed"]]
                 key, stream, _ = suffixes([p.stream(x) for p in read for x in (0, 1)], [s for host in part["host"] for s in salts_of(host)])
-                yield pd.DataFrame({"row": part["row"].to_numpy()[stream // 2], "key": key.astype(np.int64)}).drop_duplicates()
+                held = may_hold(likely.value, key)
+                yield pd.DataFrame({"row": part["row"].to_numpy()[stream[held] // 2], "key": key[held].astype(np.int64)}).drop_duplicates()
 
     def hot_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -711,6 +711,9 @@ def test_suffixes_travel_whole():
     back = op10.unpack(op10.pack(keys, counts))
     assert (back[0] == keys).all() and (back[1] == counts).all()
     assert [len(x) for x in op10.unpack(op10.pack(keys[:0], counts[:0]))] == [0, 0]
+    filed = np.zeros(2**op10.FILTER // 8, np.uint8)
+    op10.filter_bits(filed, keys[::2])
+    assert op10.may_hold(filed, keys[::2]).all() and op10.may_hold(filed, keys[1::2]).mean() < 0.01
 
 
 def test_pages_through_spark(spark):
